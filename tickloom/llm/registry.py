@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import codec, token_files
+from . import codec, exact, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op3_exact_dedup": exact.op3_exact_dedup,
         "op9_bpe_codec": codec.op9_bpe_codec,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_exact_dedup": exact.OP3_SQL,
+        "op10_warc": warc.OP10_SQL,
+    }
