@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import codec, exact, token_files, warc
+from . import codec, decontaminate, exact, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op2_token_files": token_files.op2_token_files,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op9_bpe_codec": codec.op9_bpe_codec,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontaminate.OP1_SQL,
         "op3_exact_dedup": exact.OP3_SQL,
         "op10_warc": warc.OP10_SQL,
     }
