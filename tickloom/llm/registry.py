@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codec, decontaminate, exact, token_files, warc
+from . import codec, decontaminate, exact, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_token_files": token_files.op2_token_files,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_bpe_codec": codec.op9_bpe_codec,
         "op10_warc": warc.op10_warc,
     }
