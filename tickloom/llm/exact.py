@@ -60,6 +60,8 @@ def group_states(log: str, schema: str, spark: SparkSession, state_dir: str) ->
     settings = {
         provider: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # A store of a partition is closed after its batch: its files are as large as a manifest at least.
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     }
