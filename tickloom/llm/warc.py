@@ -11,7 +11,8 @@ their digests.  Its memory is one record.
 
 Rows: null payloads count as empty; null page_ids are records without an
 X-Page-Id field and sort after all others; of rows with equal id and payload
-the first is the response and the others revisit it.
+the first by place in the input is the response and the others revisit it.
+Extra columns pass by.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_input, partitions, prepare, publish, table
+from .common import new_folder, open_input, prepare, publish, table
+from .exact import SALT_ROWS, located
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT = 100
@@ -49,12 +51,12 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(head) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, copied: bool, refers_to: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    block = http if copied else http + payload
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}:{digest}")
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Type", "revisit" if copied else "response"),
         ("WARC-Record-ID", f"<urn:uuid:{name}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", _line(url or "")),
@@ -64,8 +66,10 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     ]
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
+    if copied:
+        fields.append(("WARC-Profile", PROFILE))
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields.append(("X-Refers-To-Page-Id", str(refers_to)))
     return record(fields, block)
 
 
@@ -122,26 +126,26 @@ def read_records(stream) -> Iterator[tuple[int | None, int, str, str, int | None
 
 
 def with_first(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and ``first``: the page that a payload was first seen on.
+    """page_id, url, html, digest and refers_to: the page that shows the same payload first.
 
-    Groups are counted before the shuffle; what a large group's rows look up is
-    dealt to many salts.
+    Groups of equal payloads are counted before the shuffle, and what a large
+    group's rows look up is dealt to many salts.  The payloads themselves are
+    shuffled once, by their place in the input.
     """
-    digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
-    long_enough = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= MIN_REVISIT
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digest.alias("digest"))
-    keys = pages.where(long_enough).select(F.col("page_id").cast("long").alias("page_id"), digest.alias("digest"))
-    order = F.struct(F.col("page_id").isNull().alias("absent"), "page_id")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    page_id, digest = F.col("page_id").cast("long").alias("page_id"), F.sha2(html.cast("binary"), 256).alias("digest")
+    pages = located(pages)
+    keys = pages.where(F.octet_length(html) >= MIN_REVISIT).select("locator", page_id, digest)
+    order = F.struct(F.col("page_id").isNull().alias("absent"), "page_id", "locator")
     groups = keys.groupBy("digest").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    salts = F.ceil(F.col("n") / 500).cast("int")
-    groups = groups.select("digest", F.col("lead.page_id").alias("first"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), salts.alias("salts"))
-    sizes = groups.where("salt = 0").select("digest", "salts")
-    own = keys.join(sizes, "digest").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.col("salts")).cast("int"))
-    own = own.join(groups.select("digest", "salt", "first"), ["digest", "salt"]).groupBy("page_id", "digest").agg(F.first("first").alias("first"))
-    seen = F.coalesce(own["page_id"], F.lit(-1)) == F.coalesce(rows["page_id"], F.lit(-1))
-    same = own["page_id"].isNull() == rows["page_id"].isNull()
-    on = seen & same & (own["digest"] == rows["digest"])
-    return rows.join(own, on, "left").select(rows["*"], own["first"], own["digest"].isNotNull().alias("copied"))
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    groups = groups.select("digest", "lead", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), salts.alias("salts"))
+    own = keys.join(groups.where("salt = 0").select("digest", "salts"), "digest")
+    own = own.withColumn("salt", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int"))
+    later = own.join(groups.select("digest", "salt", "lead"), ["digest", "salt"]).where(F.col("locator") != F.col("lead.locator"))
+    later = later.select("locator", F.col("lead.page_id").alias("refers_to"), F.lit(True).alias("copied"))
+    rows = pages.select("locator", page_id, "url", "html", digest).join(later, "locator", "left")
+    return rows.select("page_id", "url", "html", "digest", "refers_to", F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -157,27 +161,17 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         def write(out) -> None:
             nonlocal n
-            led: set[tuple[int | None, str]] = set()
             batch = first_batch
             while batch is not None:
-                for page, url, html, digest, first, copied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    refers_to = None
-                    if copied:
-                        if first != page or (page, digest) in led:
-                            refers_to = first
-                        else:
-                            led.add((page, digest))
-                    out.write(page_record(page, url, (html or "").encode(), digest, refers_to))
+                for page, url, html, digest, refers_to, copied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    out.write(page_record(page, url, (html or "").encode(), digest, copied, refers_to))
                     n += 1
                 batch = next(batches, None)
 
         publish(folder, f"pages-{part:05d}.warc.gz", write)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "records": pa.array([n], pa.int64())})
 
-    rows = with_first(pages)
-    key = F.coalesce(F.col("page_id"), F.lit(-1))
-    rows = rows.repartition(partitions(spark), key).sortWithinPartitions("page_id", "url")
-    return rows.mapInArrow(run, "part long, records long")
+    return with_first(pages).mapInArrow(run, "part long, records long")
 
 
 def read_archives(spark: SparkSession, folder: str, parts: list[int]) -> DataFrame:
