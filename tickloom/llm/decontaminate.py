@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, prepare, store, table
+from .exact import located
 
 #: Words of a segment.
 SEGMENT_WORDS = 1 << 20
@@ -265,6 +266,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs`` without a hit, all their columns.
+
+    The index holds each row's place in the input instead of its doc_id, so
+    repeated and null doc_ids are told apart.
+    """
+    columns = docs.columns
+    rows = located(docs)
+    places = rows.select("locator", F.xxhash64("locator").alias("doc_id"), "text")
+    hit = match_items(build_index(places), items, window).where(F.size("first") > 0).select(F.col("doc_id").alias("place"))
+    return rows.join(hit, F.xxhash64("locator") == F.col("place"), "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")

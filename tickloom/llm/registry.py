@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import codec, decontaminate, exact, token_files, toxicity, warc
+import corpus_pipeline
+
+from . import codec, decontaminate, exact, neardup, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,9 +12,11 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_token_files": token_files.op2_token_files,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op5_near_duplicates": neardup.op5_near_duplicates,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_bpe_codec": codec.op9_bpe_codec,
         "op10_warc": warc.op10_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -20,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.OP1_SQL,
         "op3_exact_dedup": exact.OP3_SQL,
+        "op5_near_duplicates": neardup.OP5_SQL,
         "op10_warc": warc.OP10_SQL,
     }
