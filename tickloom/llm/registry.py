@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import codec, decontaminate, exact, neardup, token_files, toxicity, warc
+from . import codec, decontaminate, exact, neardup, secrets, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_token_files": token_files.op2_token_files,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op4_secret_scan": secrets.op4_secret_scan,
         "op5_near_duplicates": neardup.op5_near_duplicates,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_bpe_codec": codec.op9_bpe_codec,
