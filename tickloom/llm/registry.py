@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import codec, decontaminate, exact, neardup, secrets, token_files, toxicity, warc
+from . import codec, decontaminate, exact, neardup, secrets, substrings, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_secret_scan": secrets.op4_secret_scan,
         "op5_near_duplicates": neardup.op5_near_duplicates,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_repeated_strings": substrings.op8_repeated_strings,
         "op9_bpe_codec": codec.op9_bpe_codec,
         "op10_warc": warc.op10_warc,
         "pipeline": corpus_pipeline.run,
