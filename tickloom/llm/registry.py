@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import codec, decontaminate, exact, neardup, secrets, substrings, token_files, toxicity, warc
+from . import codec, decontaminate, exact, neardup, perplexity, secrets, substrings, token_files, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op5_near_duplicates": neardup.op5_near_duplicates,
+        "op6_quality": perplexity.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_repeated_strings": substrings.op8_repeated_strings,
         "op9_bpe_codec": codec.op9_bpe_codec,
