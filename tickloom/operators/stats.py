@@ -81,7 +81,7 @@ def judged(observations: DataFrame, fraction: float) -> DataFrame:
     """The holdout, or the whole group where the holdout has fewer than three rows."""
     rows = split(observations, fraction)
     held = F.sum((F.col("split") == "holdout").cast("int")).over(Window.partitionBy(*KEY))
-    return rows.where((held < 3) | (F.col("split") == "holdout"))
+    return rows.withColumn("_held", held).where((F.col("_held") < 3) | (F.col("split") == "holdout")).drop("_held")
 
 
 def _spread(at: str, n: str, value: str) -> Column:
