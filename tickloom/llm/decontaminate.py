@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, prepare, store, table
-from .exact import located
+from .exact import plain, with_places
 
 #: Words of a segment.
 SEGMENT_WORDS = 1 << 20
@@ -272,11 +272,10 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) ->
     The index holds each row's place in the input instead of its doc_id, so
     repeated and null doc_ids are told apart.
     """
-    columns = docs.columns
-    rows = located(docs)
-    places = rows.select("locator", F.xxhash64("locator").alias("doc_id"), "text")
-    hit = match_items(build_index(places), items, window).where(F.size("first") > 0).select(F.col("doc_id").alias("place"))
-    return rows.join(hit, F.xxhash64("locator") == F.col("place"), "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    rows = with_places(plain(docs))
+    places = rows.select(F.xxhash64("place").alias("doc_id"), "whole.text")
+    hit = match_items(build_index(places), items, window).where(F.size("first") > 0).select(F.col("doc_id").alias("hit"))
+    return rows.join(hit, F.xxhash64("place") == F.col("hit"), "left_anti").select("whole.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

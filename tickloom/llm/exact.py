@@ -42,13 +42,27 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have places in files, else its rows landed once."""
+    try:
+        docs.select(F.col("_metadata.row_index"))
+    except AnalysisException:
+        return store(docs, "landed")
+    return docs
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """``place`` and ``whole`` (a struct of all columns) of every row: no names can clash."""
+    return located(docs.select(F.struct("*").alias("whole"))).withColumnRenamed("locator", "place")
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """Rows with a ``locator`` (file, row): where their content can be read."""
+    """Rows with a ``locator`` (file, row): where their content can be read.
+
+    Callers select the columns they need first, none of them named locator.
+    """
     here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.select("*", here.alias("locator"))
-    except AnalysisException:  # not a plain read of files: land the rows first
-        return store(docs, "landed").select("*", here.alias("locator"))
+    return plain(docs).select("*", here.alias("locator"))
 
 
 def group_states(log: str, schema: str, spark: SparkSession, state_dir: str) -> DataFrame:
@@ -97,7 +111,7 @@ def assign(docs: DataFrame, text: Column | None = None, digest=sha256, state_dir
     from that text to the state's key.
     """
     spark = docs.sparkSession
-    docs = located(docs)
+    docs = located(docs.select("doc_id", "text"))
     text = normalised(F.col("text")) if text is None else text
     state_dir = state_dir or new_folder(spark, "dedup-state")
     log = f"{state_dir}/arrivals"
@@ -157,10 +171,9 @@ def assign(docs: DataFrame, text: Column | None = None, digest=sha256, state_dir
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns."""
-    columns = docs.columns
-    rows = located(docs)
-    gone = assign(docs).where("not kept").select("locator")
-    return rows.join(gone, "locator", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    docs = plain(docs)
+    gone = assign(docs).where("not kept").select(F.col("locator").alias("place"))
+    return with_places(docs).join(gone, "place", "left_anti").select("whole.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

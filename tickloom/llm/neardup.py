@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, prepare, store
-from .exact import located
+from .exact import located, plain, with_places
 
 #: Bands and coordinates of a band.
 BANDS, ROWS = 40, 5
@@ -123,7 +123,7 @@ def _set_hash(sets: list[np.ndarray], seed: int) -> np.ndarray:
 def sketched(docs: DataFrame, shingle: int, seed: int = 0) -> DataFrame:
     """locator, doc_id, n (set size), cid and check (set hashes), bands of every row."""
     prepare(docs.sparkSession)
-    rows = located(docs).select("locator", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("locator", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +211,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFra
     pairs = store(pairs.drop("shared"), "pairs")
     wanted = pairs.select(F.col("member").alias("cid")).union(pairs.select("leader")).distinct()
     places = classes.join(wanted, "cid").select("cid", F.col("first.locator").alias("locator"))
-    texts = store(located(docs).select("locator", "text").join(places, "locator").select("cid", "text"), "candidates")
+    texts = store(located(docs.select("text")).join(places, "locator").select("cid", "text"), "candidates")
 
     tested = _tested(pairs.groupBy("member").agg(F.min("leader").alias("leader")).select("leader", "member"), texts, shingle)
     good = F.expr(f"100 * both >= {LEAST} * either")
@@ -253,6 +253,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """locator, doc_id, n_shingles, component_id, kept of every row."""
+    docs = plain(docs.select("doc_id", "text"))
     for seed in range(8):
         rows = sketched(docs, shingle, seed)
         classes = classes_of(rows)
@@ -275,9 +276,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, all their columns."""
-    columns = docs.columns
-    gone = near_duplicates(docs, shingle).where("not kept").select("locator")
-    return located(docs).join(gone, "locator", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    docs = plain(docs)
+    gone = near_duplicates(docs, shingle).where("not kept").select(F.col("locator").alias("place"))
+    return with_places(docs).join(gone, "place", "left_anti").select("whole.*")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

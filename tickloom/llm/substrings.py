@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, prepare, store
-from .exact import located
+from .exact import located, plain
 
 #: Bytes of a repeated string and of a bucket's q-gram.
 LENGTH, Q = 100, 40
@@ -217,7 +217,8 @@ def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """Rows with ``ord``, a number without repeats in the order of doc_id."""
+    """doc_id, text and ``whole`` (all columns) of the rows, with ``ord``, a number without repeats in the order of doc_id."""
+    docs = plain(docs).select("doc_id", "text", F.struct("*").alias("whole"))
     ids = F.col("doc_id").cast("long")
     odd = docs.groupBy(ids.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
     if odd.isEmpty():
@@ -327,8 +328,8 @@ def removed_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
                 names=[*keep, "n_bytes", "first", "last", "kept"],
             )
 
-    joined = rows.select("ord", "text", *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep]).join(gone, "ord", "left")
-    joined = joined.select("text", "s", "n", *[F.col(f"`keep_{c}`").alias(c) for c in keep])
+    joined = rows.select("ord", "text", F.struct(*[F.col(f"whole.`{c}`") for c in keep]).alias("kept")).join(gone, "ord", "left")
+    joined = joined.select("text", "s", "n", "kept.*")
     return joined.mapInArrow(run, f"{fields}, n_bytes long, first array<int>, last array<int>, kept binary")
 
 

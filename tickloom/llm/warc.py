@@ -134,7 +134,7 @@ def with_first(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     page_id, digest = F.col("page_id").cast("long").alias("page_id"), F.sha2(html.cast("binary"), 256).alias("digest")
-    pages = located(pages)
+    pages = located(pages.select("page_id", "url", "html"))
     keys = pages.where(F.octet_length(html) >= MIN_REVISIT).select("locator", page_id, digest)
     order = F.struct(F.col("page_id").isNull().alias("absent"), "page_id", "locator")
     groups = keys.groupBy("digest").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
