@@ -19,8 +19,8 @@ similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.3e-7.
 *Links.*  Buckets are not expanded into pairs.  Round one holds each member
 against one bucket leader, round two against all its buckets' leaders that are
 not yet in its component, round three all pairs of one bucket that are still in
-different components, save those that the triangle inequality of the Jaccard
-distance to their leader rules out.  Pairs inside one component need no test.
+different components, save those that their sizes or the triangle inequality
+of the Jaccard distance to their leader rule out.  Pairs inside one component need no test.
 Every test is exact, on whole sets.  A leader's text is dealt to one salt per
 ``CHUNK`` members, so no task gets a whole group.
 
@@ -148,7 +148,7 @@ def sketched(docs: DataFrame, shingle: int, seed: int = 0) -> DataFrame:
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row a class: cid, its first row (absent, doc_id, locator), bands."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "locator", "bands")).alias("first")
-    out = rows.where("n > 0").groupBy("cid").agg(first, F.min("check").alias("low"), F.max("check").alias("high"))
+    out = rows.where("n > 0").groupBy("cid").agg(first, F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     return store(out, "classes")
 
 
@@ -203,7 +203,7 @@ def _tested(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """cid -> root, for classes that are linked with another."""
-    members = classes.select("cid", F.explode("first.bands").alias("key"))
+    members = classes.select("cid", "n", F.explode("first.bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = store(buckets.select("key", "leader"), "buckets")
     placed = store(members.join(buckets, "key"), "placed")
@@ -238,11 +238,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFra
     far = tested.select("leader", F.col("member").alias("cid"), (1 - F.col("both") / F.col("either")).alias("far"))
     across = named.join(open_, "key").join(far, ["leader", "cid"], "left").where("cid <> leader")
     across = store(across, "across")
-    x = across.select("key", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("far").alias("dx"))
-    y = across.select("key", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("far").alias("dy"))
+    x = across.select("key", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("far").alias("dx"), F.col("n").alias("nx"))
+    y = across.select("key", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("far").alias("dy"), F.col("n").alias("ny"))
     reach = (100 - LEAST) / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= reach, F.lit(True))
-    rest = x.join(y, "key").where("rx < ry").where(near).select(F.least("x", "y").alias("leader"), F.greatest("x", "y").alias("member")).distinct()
+    alike = F.expr(f"100 * least(nx, ny) >= {LEAST} * greatest(nx, ny)")  # of linked sets
+    rest = x.join(y, "key").where("rx < ry").where(alike).where(near).select(F.least("x", "y").alias("leader"), F.greatest("x", "y").alias("member")).distinct()
     seen = tested.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     rest = store(rest.join(seen, ["leader", "member"], "left_anti"), "round-three")
     if not rest.isEmpty():
