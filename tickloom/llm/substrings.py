@@ -32,7 +32,7 @@ place in the input.  Extra columns pass by; empty tables give no rows.
 from __future__ import annotations
 
 import gc
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,12 +57,10 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.RandomState(11).randint(0, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _powers: list[np.ndarray] = []
 
-#: What a task gives on: blobs of records for a shard, or verdicts on a document.
-MIXED = (
-    "shard int, keys binary, tags binary, ords binary, starts binary, counts binary, "
-    "ord long, again boolean, s array<int>, n array<int>"
-)
-VERDICT = "ord long, again boolean, s array<int>, n array<int>"
+#: What a task gives on, in blobs for a shard: records of keys (again is null),
+#: or verdicts on documents, which are dealt by document.
+MIXED = "shard int, again boolean, keys binary, tags binary, ords binary, starts binary, counts binary"
+VERDICT = "shard int, again boolean, ords binary, starts binary, counts binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -151,26 +149,28 @@ def grouped(key, tag, o, s, n):
     return key, tag, o, s, n, new_key, new_tag, several
 
 
-def verdicts(o, s, n, again: bool) -> pa.RecordBatch | None:
-    """One row a document: its windows that go, or that are looked at again."""
-    if not len(o):
-        return None
-    order = np.lexsort((s, o))
-    o, s, n = o[order], s[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-    bounds = np.append(new, len(o)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (s, n)]
-    return pa.RecordBatch.from_arrays([pa.array(o[new]), pa.array(np.full(len(new), again)), *lists], names=["ord", "again", "s", "n"])
+def _dealt(shard: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[list]:
+    """(shard, blob of each column) of the rows of every shard."""
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        i = order[bounds[k] : bounds[k + 1]]
+        yield [k, *(c[i].tobytes() for c in columns)]
 
 
-def _mixed(rows: pa.RecordBatch | None, shards: int, blobs=None) -> pa.RecordBatch:
-    n = rows.num_rows if rows is not None else len(blobs)
-    if rows is not None:
-        head = [pa.array((np.asarray(rows.column(0)) % shards).astype(np.int32)), *[pa.nulls(n, pa.binary())] * 5, *rows.columns]
-    else:
-        head = [pa.array([b[0] for b in blobs], pa.int32()), *[pa.array([b[i] for b in blobs], pa.binary()) for i in range(1, 6)]]
-        head += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(head, names=[c.split()[0] for c in MIXED.split(", ")])
+def _batches(rows: Iterator[list], schema: str) -> Iterator[pa.RecordBatch]:
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [c.split(" ") for c in schema.split(", ")]
+    while held := list(itertools.islice(rows, 64)):
+        columns = zip(*held, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def verdicts(o: np.ndarray, s: np.ndarray, n: np.ndarray, again: bool, shards: int) -> Iterator[list]:
+    """Windows that go, or that are looked at again, in one row for each shard of documents."""
+    shard = (_mix(o.astype(_U)) % _U(shards)).astype(np.int64)
+    for k, *blobs in _dealt(shard, [o.astype("<i8"), s.astype("<u4"), n.astype("<u2")], shards):
+        yield [k, again, *blobs]
 
 
 def send(parts: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.RecordBatch]:
@@ -178,42 +178,61 @@ def send(parts: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.Record
     key, tag, o, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     key, tag, o, s, n, new_key, new_tag, several = grouped(key, tag, o, s, n)
     for mask, again in ((~new_tag, False), (new_tag & several, True)):
-        if (rows := verdicts(o[mask], s[mask], n[mask], again)) is not None:
-            yield _mixed(rows, shards)
+        yield from _batches(([k, a, None, None, *blobs] for k, a, *blobs in verdicts(o[mask], s[mask], n[mask], again, shards)), MIXED)
     tag = np.where(several, _U(0), tag)  # tag 0: the key has several tags, nothing of this task is open
-    shard = (key >> _U(33)).astype(np.int64) % shards
-    keep = np.flatnonzero(new_key)
-    keep = keep[np.argsort(shard[keep], kind="stable")]
-    bounds = np.searchsorted(shard[keep], np.arange(shards + 1))
-    for low in range(0, shards, 64):
-        blobs = []
-        for k in range(low, min(low + 64, shards)):
-            i = keep[bounds[k] : bounds[k + 1]]
-            if len(i):
-                blobs.append((k, key[i].tobytes(), tag[i].tobytes(), o[i].tobytes(), s[i].astype("<u4").tobytes(), n[i].astype("<u2").tobytes()))
-        if blobs:
-            yield _mixed(None, shards, blobs)
-
-
-def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hold the tasks' records against one another; pass their verdicts on."""
-    types = (_U, _U, np.int64, "<u4", "<u2")
-    parts: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        blob = batch.column(1).is_valid()
-        rest = batch.filter(pa.compute.invert(blob))
-        if rest.num_rows:
-            yield pa.RecordBatch.from_arrays(rest.columns[6:], names=["ord", "again", "s", "n"])
-        for row in zip(*(c.to_pylist() for c in batch.filter(blob).columns[1:6]), strict=True):
-            parts.append(tuple(np.frombuffer(x, t) for x, t in zip(row, types, strict=True)))
-    if not parts:
-        return
-    key, tag, o, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, tag, o, s, n, _, new_tag, several = grouped(key, tag, o, s.astype(np.int64), n.astype(np.int64))
-    open_ = tag != 0
-    for mask, again in ((~new_tag & open_, False), (new_tag & several & open_, True)):
-        if (rows := verdicts(o[mask], s[mask], n[mask], again)) is not None:
-            yield rows
+    columns = [c[new_key] for c in (key, tag, o.astype("<i8"), s.astype("<u4"), n.astype("<u2"))]
+    shard = (columns[0] >> _U(33)).astype(np.int64) % shards
+    yield from _batches(([k, None, *blobs] for k, *blobs in _dealt(shard, columns, shards)), MIXED)
+
+
+def receive(shards: int):
+    """Holds the tasks' records against one another; passes their verdicts on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (_U, _U, "<i8", "<u4", "<u2")
+        parts: list[tuple[np.ndarray, ...]] = []
+        names = [c.split(" ")[0] for c in VERDICT.split(", ")]
+        for batch in batches:
+            done = batch.column(1).is_valid()
+            rest = batch.filter(done)
+            if rest.num_rows:
+                yield pa.RecordBatch.from_arrays([*rest.columns[:2], *rest.columns[4:]], names=names)
+            for row in zip(*(c.to_pylist() for c in batch.filter(pa.compute.invert(done)).columns[2:]), strict=True):
+                parts.append(tuple(np.frombuffer(x, t) for x, t in zip(row, types, strict=True)))
+        if not parts:
+            return
+        key, tag, o, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, tag, o, s, n, _, new_tag, several = grouped(key, tag, o, s.astype(np.int64), n.astype(np.int64))
+        open_ = tag != 0
+        for mask, again in ((~new_tag & open_, False), (new_tag & several & open_, True)):
+            yield from _batches(verdicts(o[mask], s[mask], n[mask], again, shards), VERDICT)
+
+    return run
+
+
+def by_document(rows: DataFrame) -> DataFrame:
+    """ord, s, n: one row for each document that the verdicts name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                parts.append(tuple(np.frombuffer(x, t) for x, t in zip(row, ("<i8", "<u4", "<u2"), strict=True)))
+        if not parts:
+            return
+        o, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((s, o))
+        o, s, n = o[order], s[order].astype(np.int32), n[order].astype(np.int32)
+        new = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        bounds = np.append(new, len(o))
+        for low in range(0, len(new), 1024):
+            high = min(low + 1024, len(new))
+            a, b = bounds[low], bounds[high]
+            offsets = (bounds[low : high + 1] - a).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a:b])) for x in (s, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(o[new[low:high]]), *lists], names=["ord", "s", "n"])
+
+    return rows.repartition(partitions(rows.sparkSession), "shard").mapInArrow(run, "ord long, s array<int>, n array<int>")
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -267,12 +286,12 @@ def first_verdicts(rows: DataFrame) -> DataFrame:
             yield from send(parts, shards)
 
     sent = rows.select("ord", "text").mapInArrow(run, MIXED)
-    return store(sent.repartition(partitions(rows.sparkSession), "shard").mapInArrow(receive, VERDICT), "verdicts")
+    return store(sent.repartition(partitions(rows.sparkSession), "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
 
 
 def second_verdicts(rows: DataFrame, verdict: DataFrame) -> DataFrame:
     shards = 4 * partitions(rows.sparkSession)
-    look = verdict.where("again").groupBy("ord").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("n")).alias("n"))
+    look = by_document(verdict.where("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -291,7 +310,7 @@ def second_verdicts(rows: DataFrame, verdict: DataFrame) -> DataFrame:
             yield from send(parts, shards)
 
     sent = rows.select("ord", "text").join(look, "ord").mapInArrow(run, MIXED)
-    return store(sent.repartition(partitions(rows.sparkSession), "shard").mapInArrow(receive, VERDICT), "verdicts")
+    return store(sent.repartition(partitions(rows.sparkSession), "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
 
 
 def removed_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -303,8 +322,7 @@ def removed_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     release(spark)
     two = second_verdicts(rows, one)
     release(spark)
-    gone = one.where("not again").unionByName(two).groupBy("ord")
-    gone = gone.agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("n")).alias("n"))
+    gone = by_document(one.where("not again").unionByName(two))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
