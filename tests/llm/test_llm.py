@@ -218,8 +218,10 @@ def test_sketches_estimate_similarity():
 
 def test_base_spans_and_models(spark):
     key = "AKIA" + "ABCD1234EFGH5678"
-    rows = TEXTS + [(20, f"😀 {key} x API-key = \"{'z' * 6}\" apikey:abc {'0f' * 13}"), (21, "kX9qZ2vB7nM4pL8wR3tY6u and ordinarylongidentifier")]
-    found = {r["doc_id"]: r for r in secrets.scan(table(spark, rows), secrets.train(table(spark, rows))).select("doc_id", "text", "base", secrets.listed("spans").alias("spans")).collect()}
+    rows = TEXTS + [(20, f"😀 {key} x API-key = \"{'z' * 6}\" apikey:abc {'0f' * 13}"), (21, "kX9qZ2vB7nM4pL8wR3tY6u and loremipsumdolorsit")]
+    r = random.Random(5)
+    labelled = [(1000 + i, "token=" + "".join(r.choice("ABCDEFGHKLMNPQRSTUVWXYZabcdefghikmnopqrstuvwxyz0123456789") for _ in range(40))) for i in range(150)]
+    found = {r["doc_id"]: r for r in secrets.scan(table(spark, rows), secrets.train(table(spark, TEXTS + labelled))).select("doc_id", "text", "base", secrets.listed("spans").alias("spans")).collect()}
     assign = re.compile(secrets.ASSIGN.replace("(?i:", "(?:"), re.I | re.A)
     for i, t in rows:
         if i is None:

@@ -11,8 +11,9 @@ unless it overlaps a base span.
 The models are trained on labelled samples: the distinct values of base matches
 are labelled random, distinct runs of texts without their base matches are
 labelled ordinary.  Both samples are bounded: at most ``SAMPLE`` documents with
-a base match, and ``SAMPLE`` of any, in the order of a hash of doc_id.  Add-one
-smoothing makes a model without samples uniform.  What reaches the driver is one
+a base match, and ``SAMPLE`` of any, in the order of a hash of doc_id.  A pair's
+share backs off to the character's own, which starts from one count each, so a
+model without samples is uniform.  What reaches the driver is one
 number for each pair of characters.
 
 Positions are code points, ends exclusive.  Between matches the text is cut with
@@ -45,6 +46,8 @@ CANDIDATE = 16
 RUN = "[A-Za-z0-9+/_=-]"
 #: Least log-likelihood ratio, in nats, in total and for each pair of characters.
 THRESHOLD, PER_PAIR = 16.0, 0.7
+#: Weight of a character's own frequency in the estimate of what follows another.
+BACKOFF = 8.0
 #: Documents of each labelled sample.
 SAMPLE = 2000
 
@@ -107,7 +110,9 @@ def ratios(seen: dict[tuple[int, str], int]) -> list[float]:
     import math
 
     total = {(k, a): sum(seen.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
-    share = lambda k, a, b: (seen.get((k, a + b), 0) + 1) / (total[k, a] + len(ALPHABET))
+    whole = {k: sum(total[k, a] for a in ALPHABET) for k in (0, 1)}
+    usual = {(k, b): (sum(seen.get((k, a + b), 0) for a in ALPHABET) + 1) / (whole[k] + len(ALPHABET)) for k in (0, 1) for b in ALPHABET}
+    share = lambda k, a, b: (seen.get((k, a + b), 0) + BACKOFF * usual[k, b]) / (total[k, a] + BACKOFF)
     return [round(math.log(share(0, a, b) / share(1, a, b)), 4) for a in ALPHABET for b in ALPHABET]
 
 
