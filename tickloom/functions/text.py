@@ -57,7 +57,7 @@ def score_tokens(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
     it is small) and summed up per key before the shuffle.
     """
     each = rows.select(key, "tokens", F.posexplode_outer("tokens").alias("at", "word"))
-    each = each.withColumn("negated", (F.col("at") > 0) & F.col("tokens")[F.greatest(F.col("at") - 1, F.lit(0))].isin(NEGATORS)).drop("tokens")
+    each = each.withColumn("negated", F.coalesce(F.get("tokens", F.col("at") - 1).isin(NEGATORS), F.lit(False))).drop("tokens")
     met = each.join(words, "word", "left")
     value = F.col("valence") * F.when(F.col("negated"), NEGATION).otherwise(1.0)
     sums = met.groupBy(key).agg(

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A flat schema from "name type, ..."."""
+    pairs = (c.split(" ") for c in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_ARTICLES = _struct(
@@ -28,9 +36,10 @@ PRICE_BARS = _struct(
 INGEST_LOG = _struct(
     "vendor string, request string, status int, attempts int, rate_limited boolean, from_cache boolean, duration_ms bigint, bytes bigint, error string"
 )
-MASSIVE_PAYLOAD = _struct(
+# Vendor payloads, as DDL.
+MASSIVE_PAYLOAD = (
     "results array<struct<id string, publisher struct<name string>, title string, description string, published_utc string, article_url string, "
     "tickers array<string>, insights array<struct<ticker string, sentiment string>>>>, status string"
 )
-GDELT_PAYLOAD = _struct("articles array<struct<url string, title string, domain string, seendate string>>")
-ALPACA_PAYLOAD = _struct("bars map<string, array<struct<t string, o double, h double, l double, c double, v bigint>>>, next_page_token string")
+GDELT_PAYLOAD = ("articles array<struct<url string, title string, domain string, seendate string>>")
+ALPACA_PAYLOAD = ("bars map<string, array<struct<t string, o double, h double, l double, c double, v bigint>>>, next_page_token string")
