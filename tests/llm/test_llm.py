@@ -235,6 +235,29 @@ def test_base_spans_and_models(spark):
     assert secrets.scan(table(spark, []), [0.0] * len(secrets.ALPHABET) ** 2).count() == 0
 
 
+def test_secrets_beside_names_and_base_spans(spark):
+    r = random.Random(6)
+    draw = lambda n: "".join(r.choice("ABCDEFGHKLMNPQRSTUVWXYZabcdefghikmnopqrstuvwxyz0123456789") for _ in range(n))
+    name = lambda: "".join(r.choice(WORDS) for _ in range(8))
+    labelled = [(1000 + i, f"token={draw(40)} {name()} {name()}/{name()}") for i in range(150)]
+    secrets_ = [draw(24) for _ in range(40)]
+    rows = [(i, f"é {name()}={s}/{name()} {name()}") for i, s in enumerate(secrets_)]
+    rows += [(100 + i, f"{name()}/{s}_{name()}-{draw(24)}-{name()}") for i, s in enumerate(secrets_)]
+    rows += [(200 + i, f"path/{'0f' * 20}/{s}") for i, s in enumerate(secrets_)] + [(300 + i, f"{name()}/{name()}_{name()}") for i in range(40)]
+    found = {}
+    for x in secrets.scan(table(spark, rows), secrets.train(table(spark, labelled))).select("doc_id", "text", "spans").collect():
+        found[x["doc_id"]] = x["text"], [(a, b) for a, kind, b in x["spans"] if kind == 3]
+        bare = sorted((a, b) for a, kind, b in x["spans"])
+        assert all(p[1] <= q[0] for p, q in zip(bare, bare[1:]))
+    for first in (0, 100, 200):
+        covered = 0
+        for i, s in enumerate(secrets_):
+            text, parts = found[first + i]
+            covered += any(min(b, text.index(s) + 24) - max(a, text.index(s)) >= 16 for a, b in parts)
+        assert covered >= 38, first
+    assert sum(bool(found[300 + i][1]) for i in range(40)) == 0
+
+
 # 6, 7: models ------------------------------------------------------------------------------
 
 

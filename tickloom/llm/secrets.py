@@ -4,9 +4,12 @@ DataFrame and SQL functions only.  Three base patterns (assignments, access
 keys, hexadecimal strings) are found as leftmost non-overlapping matches; those
 that are too short are dropped.  Two first-order Markov models over the
 characters of ``ALPHABET`` then compare random strings with ordinary
-identifiers: a run of at least ``CANDIDATE`` such characters whose
-log-likelihood ratio reaches ``THRESHOLD`` becomes a further span (kind markov),
-unless it overlaps a base span.
+identifiers.  A run of such characters outside the base spans becomes a further
+span (kind markov) if it has at least ``CANDIDATE`` characters and its
+log-likelihood ratio reaches ``THRESHOLD`` in all and ``PER_PAIR`` for each pair.
+Of any other run the parts that reach both do, so a secret stays visible beside
+a name or a path: for each start the end that exceeds the thresholds most, where
+a start one further on would not do better; parts that touch are one span.
 
 The models are trained on labelled samples: the distinct values of base matches
 are labelled random, distinct runs of texts without their base matches are
@@ -26,6 +29,7 @@ gives one row, repeated ones too.  Extra columns pass by.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +50,16 @@ CANDIDATE = 16
 RUN = "[A-Za-z0-9+/_=-]"
 #: Least log-likelihood ratio, in nats, in total and for each pair of characters.
 THRESHOLD, PER_PAIR = 16.0, 0.7
+#: Most pairs of a part that is scored by itself: a longer one that reaches both
+#: has a half that does.
+LONGEST = 2 * math.ceil(THRESHOLD / PER_PAIR)
 #: Weight of a character's own frequency in the estimate of what follows another.
 BACKOFF = 8.0
 #: Documents of each labelled sample.
 SAMPLE = 2000
 
+NO_SPANS = "cast(array() AS array<struct<start: int, kind: int, end: int>>)"
+
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
@@ -107,8 +116,6 @@ def train(docs: DataFrame) -> list[float]:
 
 
 def ratios(seen: dict[tuple[int, str], int]) -> list[float]:
-    import math
-
     total = {(k, a): sum(seen.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
     whole = {k: sum(total[k, a] for a in ALPHABET) for k in (0, 1)}
     usual = {(k, b): (sum(seen.get((k, a + b), 0) for a in ALPHABET) + 1) / (whole[k] + len(ALPHABET)) for k in (0, 1) for b in ALPHABET}
@@ -116,24 +123,43 @@ def ratios(seen: dict[tuple[int, str], int]) -> list[float]:
     return [round(math.log(share(0, a, b) / share(1, a, b)), 4) for a in ALPHABET for b in ALPHABET]
 
 
-def score(token: str, table: str) -> str:
-    """SQL for a token's log-likelihood ratio."""
-    n, a = len(ALPHABET), f"'{ALPHABET}'"
-    return f"""aggregate(sequence(1, length({token}) - 1), 0D, (sum, i) -> sum + element_at({table},
-      (instr({a}, substr({token}, i, 1)) - 1) * {n} + instr({a}, substr({token}, i + 1, 1))))"""
+def ratios_of(run: str, table: str) -> str:
+    """SQL for the log-likelihood ratios of a run's pairs."""
+    return f"""transform(array(transform(split({run}, ''), c -> instr('{ALPHABET}', c) - 1)), c ->
+      zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> element_at({table}, a * {len(ALPHABET)} + b + 1)))[0]"""
+
+
+def random_parts(d: str, at: str) -> str:
+    """SQL for the spans of a run whose pairs have the ratios ``d`` and that begins at ``at``."""
+    span = lambda a, b: f"named_struct('start', {at} + {a}, 'kind', 3, 'end', {at} + {b})"
+    enough = lambda n: f"greatest({THRESHOLD}D, {PER_PAIR}D * ({n}))"
+    over = f"s.sum + r - {enough('s.n + 1')}"
+    better = f"s.n + 1 >= {CANDIDATE - 1} AND {over} > s.over"
+    ends = f"""transform(sequence(0, size({d}) - {CANDIDATE - 1}), i -> aggregate(slice({d}, i + 1, {LONGEST}),
+      named_struct('n', 0, 'sum', 0D, 'over', -1e9D, 'to', 0),
+      (s, r) -> named_struct('n', s.n + 1, 'sum', s.sum + r, 'over', CASE WHEN {better} THEN {over} ELSE s.over END, 'to', CASE WHEN {better} THEN s.n + 1 ELSE s.to END),
+      s -> named_struct('over', s.over, 'from', i, 'to', i + s.to + 1)))"""
+    own = f"""transform(array({ends}), e -> filter(e, (x, i) -> x.over >= 0 AND x.over >= coalesce(get(e, i + 1).over, x.over)))[0]"""
+    merged = f"""aggregate({own}, named_struct('from', -1, 'to', -1, 'out', {NO_SPANS}),
+      (s, x) -> CASE WHEN x.from <= s.to THEN named_struct('from', s.from, 'to', greatest(s.to, x.to), 'out', s.out)
+        ELSE named_struct('from', x.from, 'to', x.to, 'out', CASE WHEN s.to < 0 THEN s.out ELSE concat(s.out, array({span('s.from', 's.to')})) END) END,
+      s -> CASE WHEN s.to < 0 THEN s.out ELSE concat(s.out, array({span('s.from', 's.to')})) END)"""
+    total = f"aggregate({d}, 0D, (sum, r) -> sum + r)"
+    return f"CASE WHEN {total} >= {enough(f'size({d})')} THEN array({span('0', f'size({d}) + 1')}) ELSE {merged} END"
 
 
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     """doc_id, text, base spans and all spans (base and Markov) of every row."""
     table = f"from_json('{json.dumps(model)}', 'array<double>')"
-    likely = f"({score('x.m', table)}) >= greatest({THRESHOLD}D, {PER_PAIR}D * (length(x.m) - 1))"
     pattern = f"{RUN}{{{CANDIDATE},}}"
-    some = f"exists(transform(regexp_extract_all(text, r'{pattern}', 0), m -> named_struct('m', m)), x -> {likely})"
-    empty = "cast(array() AS array<struct<start: int, kind: int, end: int>>)"
-    rows = with_base(docs).withColumn("random", F.expr(f"CASE WHEN {some} THEN {spans('text', pattern, 3, likely)} ELSE {empty} END"))
-    return rows.withColumn(
-        "spans", F.expr("array_sort(concat(base, filter(random, r -> NOT exists(base, b -> r.start < b.end AND b.start < r.end))))")
-    ).drop("random")
+    # Base spans become spaces, so that runs end at them; positions stay.
+    rest = "aggregate(base, text, (t, b) -> concat(substr(t, 1, b.start), repeat(' ', b.end - b.start), substr(t, b.end + 1)))"
+    rows = with_base(docs).withColumn("rest", F.expr(f"CASE WHEN text RLIKE {_quoted(pattern)} THEN {rest} ELSE '' END"))
+    rows = rows.withColumn("runs", F.expr(spans("rest", pattern, 3)))
+    scored = f"transform(runs, r -> named_struct('at', r.start, 'd', {ratios_of('substr(rest, r.start + 1, r.end - r.start)', table)}))"
+    random = f"flatten(transform({scored}, own -> {random_parts('own.d', 'own.at')}))"
+    rows = rows.withColumn("spans", F.expr(f"CASE WHEN size(runs) = 0 THEN base ELSE array_sort(concat(base, {random})) END"))
+    return rows.drop("rest", "runs")
 
 
 def listed(column: str) -> Column:
