@@ -276,6 +276,23 @@ def test_kneser_ney_sums_to_one_and_ranks_texts(spark):
     assert len(bare) == len(rows) and all(r["kept"] for r in bare)
 
 
+def test_threshold_is_of_held_out_documents(spark):
+    r = random.Random(8)
+    odd = {i: "".join(chr(r.randrange(33, 127)) for _ in range(60)) for i in (37, 38)}  # 37 is trusted, 38 is not
+    rows = [(i, sentence(i, 40)) for i in range(37)] + [(100, sentence(200, 40).replace("o", "q").replace("e", "j"))] + list(odd.items())
+    plain = spark.createDataFrame([(i, 1, 0) for i in range(37)], "doc_id long, quality int, toxic int")
+    found = {x["doc_id"]: x for x in perplexity.quality(table(spark, rows), plain).collect()}
+    assert all(found[i]["kept"] for i in range(36)) and not found[100]["kept"] and not found[38]["kept"]
+    # The threshold is the largest perplexity of a fold's documents under the model of the others.
+    texts = spark.createDataFrame([(i, t) for i, t in rows if i < 37], "doc_id long, text string").withColumn("fold", perplexity.fold_of("doc_id"))
+    worst = 0.0
+    for fold in range(perplexity.FOLDS):
+        model = perplexity.fit(texts.where(F.col("fold") != fold).select("text"))
+        for x in perplexity.score(texts.where(F.col("fold") == fold), model, ("doc_id",)).collect():
+            worst = max(worst, np.exp(-x["log_likelihood"] / x["n_bytes"]))
+    assert found[0]["threshold"] == pytest.approx(worst)
+
+
 def test_model_shards_give_the_same_scores(spark, monkeypatch):
     texts = [(i, sentence(i, 20)) for i in range(6)]
     model = perplexity.fit(table(spark, texts)).persist()

@@ -11,10 +11,11 @@ Discounts are the modified Kneser-Ney ones (D1, D2, D3+ of each order from its
 counts of counts).  The lowest order is interpolated with the uniform model.
 
 A document's perplexity is exp(-log-likelihood / bytes).  Its threshold is
-``MARGIN`` (texts outside the training set score worse) times the ``QUANTILE``
-of the perplexities of trusted documents in its language (of all
+the ``QUANTILE`` of the perplexities of trusted documents in its language (of all
 trusted documents where the language has fewer than ``MIN_TRUSTED``); documents
-above it are not kept.
+above it are not kept.  Those perplexities are held out: trusted documents fall
+into ``FOLDS`` by a hash of doc_id, and each fold is scored with a model of the
+other folds' text.
 
 The model is sent to the tasks in shards of at most ``SHARD_ROWS`` rows, chosen
 by the byte before the predicted one, and the documents are read once for each
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, prepare, store, table
@@ -41,8 +42,8 @@ from .common import documents, prepare, store, table
 ORDER = 5
 #: Quantile of trusted documents' perplexity that is still kept.
 QUANTILE = 0.995
-#: Factor on that quantile.
-MARGIN = 1.5
+#: Parts of the trusted text; each is scored without itself.
+FOLDS = 5
 #: Trusted documents that a language needs for a threshold of its own.
 MIN_TRUSTED = 20
 #: Rows of the model that a pass over the documents takes.
@@ -69,59 +70,80 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def fold_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
-    """gram, c: counts of full order over all texts."""
+    """fold, gram, c: counts of full order over all texts of a fold (of one fold, 0, without the column)."""
     prepare(texts.sparkSession)
+    fold = F.col("fold") if "fold" in texts.columns else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(raws):
-            gram, c = np.unique(grams(raws)[0], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(c.astype(np.int64))], names=["gram", "c"])
+        def counted(held):
+            for fold, raws in held.items():
+                gram, c = np.unique(grams(raws)[0], return_counts=True)
+                columns = [pa.array(np.full(len(gram), fold, np.int32)), pa.array(gram), pa.array(c.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["fold", "gram", "c"])
 
-        held, size = [], 0
+        held, size = {}, 0
         for batch in batches:
-            for raw in _raw(batch.column(0)):
-                held.append(raw)
+            for fold, raw in zip(batch.column(1).to_pylist(), _raw(batch.column(0)), strict=True):
+                held.setdefault(fold, []).append(raw)
                 size += len(raw)
                 if size >= BLOCK:
-                    yield counted(held)
-                    held, size = [], 0
+                    yield from counted(held)
+                    held, size = {}, 0
         if size:
-            yield counted(held)
+            yield from counted(held)
 
-    return texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    rows = texts.select("text", fold.cast("int").alias("fold")).mapInArrow(run, "fold int, gram long, c long")
+    return rows.groupBy("fold", "gram").agg(F.sum("c").alias("c"))
 
 
 def fit(texts: DataFrame) -> DataFrame:
-    """The model: kind 0 (order, gram, log probability) and 1 (order, context, log weight of the lower order)."""
-    counts = {ORDER: store(count_grams(texts), "grams")}
+    """The model of the texts."""
+    return fit_counts(count_grams(texts).withColumnRenamed("fold", "part"), 1).drop("part")
+
+
+def training_sets(counted: DataFrame) -> DataFrame:
+    """part, gram, c: part k has all folds but k, part ``FOLDS`` has all."""
+    parts = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda k: k != F.col("fold"))
+    return counted.select(F.explode(parts).alias("part"), "gram", "c")
+
+
+def fit_counts(counted: DataFrame, parts: int) -> DataFrame:
+    """For each part the model: kind 0 (order, gram, log probability) and 1 (order, context, log weight of the lower order)."""
+    counts = {ORDER: store(counted.groupBy("part", "gram").agg(F.sum("c").alias("c")), "grams")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND((1 << 8 * k) - 1)
-        counts[k] = store(counts[k + 1].groupBy(suffix.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams")
-    spark = texts.sparkSession
+        counts[k] = store(counts[k + 1].groupBy("part", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams")
     out, lower = None, None
     for k in range(1, ORDER + 1):
         rows = counts[k]
-        seen = dict(rows.where("c <= 4").groupBy("c").count().collect())  # at most four rows
-        n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        cut = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
-        cut = [min(max(d, 0.1), i - 0.1) for i, d in zip((1, 2, 3), cut, strict=True)]
-        d = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
-        rows = rows.select("gram", "c", d.alias("d"), F.shiftright("gram", 8).alias("context"))
-        contexts = store(rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight")), "contexts")
-        rows = rows.join(contexts, "context")
+        seen = {(r["part"], r["c"]): r["count"] for r in rows.where("c <= 4").groupBy("part", "c").count().collect()}  # at most four rows a part
+        cuts = []
+        for part in range(parts):
+            n1, n2, n3, n4 = (seen.get((part, i), 0) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0.0
+            cut = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
+            cuts.append(F.array([F.lit(float(min(max(d, 0.1), i - 0.1))) for i, d in zip((1, 2, 3), cut, strict=True)]))
+        d = F.element_at(F.element_at(F.array(cuts), F.col("part") + 1), F.least(F.col("c"), F.lit(3)).cast("int"))
+        rows = rows.select("part", "gram", "c", d.alias("d"), F.shiftright("gram", 8).alias("context"))
+        contexts = store(rows.groupBy("part", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight")), "contexts")
+        rows = rows.join(contexts, ["part", "context"])
         if lower is None:
             rows = rows.withColumn("low", F.lit(1 / 256))
         else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(lower, "suffix")
-        rows = store(rows.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")), "model")
-        lower = rows.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
-        own = rows.select(F.lit(0).alias("kind"), F.lit(k).alias("order"), "gram", F.log("p").alias("value"))
-        weights = contexts.select(F.lit(1).alias("kind"), F.lit(k).alias("order"), F.col("context").alias("gram"), F.log("weight").alias("value"))
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(lower, ["part", "suffix"])
+        p = (F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")
+        rows = store(rows.select("part", "gram", p.alias("p")), "model")
+        lower = rows.select("part", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+        own = rows.select("part", F.lit(0).alias("kind"), F.lit(k).alias("order"), "gram", F.log("p").alias("value"))
+        weights = contexts.select("part", F.lit(1).alias("kind"), F.lit(k).alias("order"), F.col("context").alias("gram"), F.log("weight").alias("value"))
         own = own.unionByName(weights)
         out = own if out is None else out.unionByName(own)
-    return out if out is not None else spark.createDataFrame([], "kind int, order int, gram long, value double")
+    return out
 
 
 class Lookup:
@@ -208,11 +230,18 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, log_likelihood, perplexity, threshold, kept of every row."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = store(fit(own.join(trusted, "doc_id", "left_semi").select("text")), "language-model")
-    scored = store(score(own, model, ("doc_id", "lang")), "scored")
-    scored = scored.withColumn("perplexity", F.exp(-F.col("log_likelihood") / F.greatest(F.lit(1), "n_bytes")))
-    known = scored.join(trusted, "doc_id", "left_semi").where("n_bytes > 0")
-    cut = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), (F.lit(MARGIN) * F.percentile_approx("perplexity", QUANTILE, 10000)).alias("cut"))
+    # Labels grow with the input, so the join is dealt by doc_id at every size.
+    texts = own.join(trusted.hint("merge"), "doc_id", "left_semi").select("text", fold_of("doc_id").alias("fold"))
+    models = store(fit_counts(training_sets(store(count_grams(texts), "fold-grams")), FOLDS + 1), "language-models")
+    model = lambda part: models.where(F.col("part") == part).drop("part")
+    perplexed = lambda rows: rows.withColumn("perplexity", F.exp(-F.col("log_likelihood") / F.greatest(F.lit(1), "n_bytes")))
+    scored = perplexed(store(score(own, model(FOLDS), ("doc_id", "lang")), "scored"))
+    known = None
+    for fold in range(FOLDS):  # without a join to the texts: a fold's other documents are scored too
+        part = score(own.where(fold_of("doc_id") == fold), model(fold), ("doc_id", "lang"))
+        known = part if known is None else known.unionByName(part)
+    known = perplexed(store(known.join(trusted.hint("merge"), "doc_id", "left_semi").where("n_bytes > 0"), "held-out"))
+    cut = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", QUANTILE, 10000).alias("cut"))
     whole = cut(known.groupBy()).first()
     by_lang = {r["lang"]: r["cut"] for r in cut(known.groupBy("lang")).where(F.col("n") >= MIN_TRUSTED).collect()}  # one row a language
     threshold = F.lit(whole["cut"]).cast("double")
