@@ -293,6 +293,14 @@ def test_threshold_is_of_held_out_documents(spark):
     assert found[0]["threshold"] == pytest.approx(worst)
 
 
+def test_languages_with_few_trusted_documents(spark):
+    rows = [(i, sentence(i, 40), "en") for i in range(24)] + [(24, sentence(24, 40).upper(), "en")] + [(30 + i, sentence(30 + i, 40), "xx") for i in range(3)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0, "own", "own") for i, t, lang in rows] + [(50, sentence(50, 40), "yy", "s", 0, "own", "own")], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    limit = {x["lang"]: x["threshold"] for x in perplexity.quality(docs, labels).select("lang", "threshold").distinct().collect()}
+    assert len(limit) == 3 and limit["xx"] < limit["en"] == limit["yy"]
+
+
 def test_model_shards_give_the_same_scores(spark, monkeypatch):
     texts = [(i, sentence(i, 20)) for i in range(6)]
     model = perplexity.fit(table(spark, texts)).persist()

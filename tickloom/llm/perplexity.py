@@ -11,8 +11,8 @@ Discounts are the modified Kneser-Ney ones (D1, D2, D3+ of each order from its
 counts of counts).  The lowest order is interpolated with the uniform model.
 
 A document's perplexity is exp(-log-likelihood / bytes).  Its threshold is
-the ``QUANTILE`` of the perplexities of trusted documents in its language (of all
-trusted documents where the language has fewer than ``MIN_TRUSTED``); documents
+the ``QUANTILE`` of the perplexities of trusted documents in its language, however
+few they are (of all trusted documents where the language has none); documents
 above it are not kept.  Those perplexities are held out: trusted documents fall
 into ``FOLDS`` by a hash of doc_id, and each fold is scored with a model of the
 other folds' text.
@@ -44,8 +44,6 @@ ORDER = 5
 QUANTILE = 0.995
 #: Parts of the trusted text; each is scored without itself.
 FOLDS = 5
-#: Trusted documents that a language needs for a threshold of its own.
-MIN_TRUSTED = 20
 #: Rows of the model that a pass over the documents takes.
 SHARD_ROWS = 6_000_000
 #: Bytes that a task counts at once.
@@ -241,9 +239,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         part = score(own.where(fold_of("doc_id") == fold), model(fold), ("doc_id", "lang"))
         known = part if known is None else known.unionByName(part)
     known = perplexed(store(known.join(trusted.hint("merge"), "doc_id", "left_semi").where("n_bytes > 0"), "held-out"))
-    cut = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", QUANTILE, 10000).alias("cut"))
+    cut = lambda rows: rows.agg(F.percentile_approx("perplexity", QUANTILE, 10000).alias("cut"))
     whole = cut(known.groupBy()).first()
-    by_lang = {r["lang"]: r["cut"] for r in cut(known.groupBy("lang")).where(F.col("n") >= MIN_TRUSTED).collect()}  # one row a language
+    by_lang = {r["lang"]: r["cut"] for r in cut(known.groupBy("lang")).collect()}  # one row a language
     threshold = F.lit(whole["cut"]).cast("double")
     for lang, limit in sorted(by_lang.items(), key=lambda x: str(x[0])):
         threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(limit)).otherwise(threshold)
