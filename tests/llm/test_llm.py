@@ -326,6 +326,14 @@ def test_toxicity_on_held_out_texts():
     assert toxicity.train([]).score("x") == 0.0
 
 
+def test_ordinary_dictionary_sees_whole_texts(monkeypatch):
+    texts, given_ = [(sentence(i, 150), int(i % 3 == 0)) for i in range(30)], []
+    monkeypatch.setattr(toxicity, "train_dictionary", lambda samples: given_.append(samples) or b"\n".join(samples)[-5000:])
+    toxicity.train(texts)
+    ordinary = [t for t, y in toxicity.distinct_texts(texts) if not y][::2]
+    assert b" ".join(given_[1]).split() == " ".join(ordinary).encode().split()
+
+
 def test_toxicity_keeps_columns_and_rows(spark):
     model = toxicity.train([])
     assert toxicity.score(table(spark), model).count() == len(TEXTS)

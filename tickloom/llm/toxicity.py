@@ -164,6 +164,11 @@ def typical(toxic: list[str], ordinary: list[str]) -> set[str]:
     return out
 
 
+def ordinary_samples(ordinary: list[str]) -> list[bytes]:
+    """All windows of the texts, in pieces of 12."""
+    return [(" " + " ".join(own[i : i + 12]) + " ").encode() for t in ordinary for own in [windows(t)] for i in range(0, len(own), 12)]
+
+
 def distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Rows without empty texts and near copies of a text before them."""
     factors = (np.random.RandomState(0).randint(1, 1 << 61, SKETCH) * 2 + 1).astype(np.uint64)
@@ -193,8 +198,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     (ordinary, ordinary2), (toxic, toxic2) = [(x[::2], x[1::2]) for x in by]
     chosen = typical(toxic, ordinary)
     samples = [(" " + " ".join(own) + " ").encode() for t in toxic if (own := [w for w in map(bare, windows(t)) if w in chosen])]
-    usual = [(" " + " ".join(own[i : i + 12]) + " ").encode() for t in ordinary for own in [windows(t)] for i in range(0, len(own), 120)]
-    model = Model(train_dictionary(samples or [t.encode() for t in toxic]), train_dictionary(usual), None, prior)
+    model = Model(train_dictionary(samples or [t.encode() for t in toxic]), train_dictionary(ordinary_samples(ordinary)), None, prior)
     x = np.array([model.features(t) for t in [*ordinary2, *toxic2, ""]])
     y = np.array([0.0] * len(ordinary2) + [1.0] * len(toxic2) + [0.0])
     model.weights = calibrate(x, y)
