@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import io
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections import OrderedDict
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rows in an Arrow batch.  Texts may be long, so batches hold few rows.
 BATCH_ROWS = 256
@@ -76,6 +82,28 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, deleted when their readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def folder(self, name: str) -> str:
+        self.paths.append(new_folder(self.spark, name))
+        return self.paths[-1]
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, *self.paths)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of an address (file, hdfs, s3, ...)."""
     uri = uri if "://" in uri else uri.replace("file:", "file://", 1)
@@ -103,6 +131,111 @@ def open_input(folder: str, name: str) -> io.RawIOBase:
     return fs.open_input_stream(f"{base}/{name}", compression=None)
 
 
+#: Rows of an input file that one side file speaks of.
+SIDE_ROWS = 1 << 20
+
+
+def _side(file: str, chunk: int) -> str:
+    return f"{hashlib.sha256(file.encode()).hexdigest()[:32]}-{chunk}"
+
+
+def write_sides(places: DataFrame, folder: str) -> None:
+    """Write rows (file, row, value long; each place once) as side files, one for SIDE_ROWS rows of an input file.
+
+    Whoever reads those input files again looks its rows up there, so that their
+    texts need not be shuffled to meet a decision.
+    """
+    spark = places.sparkSession
+    prepare(spark)
+    chunk = F.shiftright("row", SIDE_ROWS.bit_length() - 1).alias("chunk")
+    rows = places.select("file", chunk, "row", "value").repartition(partitions(spark), "file", "chunk").sortWithinPartitions("file", "chunk", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(key, held) -> None:
+            row, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            publish(folder, _side(*key), lambda f: f.write(row.astype("<i8").tobytes() + value.astype("<i8").tobytes()))
+
+        at, held, n = None, [], 0
+        for batch in batches:
+            for key, low, high in _stretches(batch.column(0), batch.column(1).to_numpy()):
+                if key != at and held:
+                    put(at, held)
+                    held, n = [], n + 1
+                at = key
+                held.append((batch.column(2).to_numpy()[low:high], batch.column(3).to_numpy()[low:high]))
+        if held:
+            put(at, held)
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _stretches(files: pa.Array, chunks: np.ndarray) -> Iterator[tuple[tuple[str, int], int, int]]:
+    """Stretches of a batch with one file and chunk: ((file, chunk), first, end)."""
+    if not len(chunks):
+        return
+    coded = files.dictionary_encode()
+    code = coded.indices.to_numpy()
+    cuts = np.flatnonzero((code[1:] != code[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
+        yield (coded.dictionary[code[low]].as_py(), int(chunks[low])), low, high
+
+
+class Sides:
+    """Look-up in side files; the last few stay in memory."""
+
+    def __init__(self, folder: str):
+        self.folder, self.held = folder, OrderedDict()
+
+    def _load(self, key: tuple[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        if key not in self.held:
+            fs, base = filesystem(self.folder)
+            raw = b""
+            if fs.get_file_info(f"{base}/{_side(*key)}").type != pafs.FileType.NotFound:
+                with open_input(self.folder, _side(*key)) as f:
+                    raw = f.read()
+            both = np.frombuffer(raw, "<i8")
+            self.held[key] = (both[: len(both) // 2], both[len(both) // 2 :])
+            if len(self.held) > 4:
+                self.held.popitem(last=False)
+        return self.held[key]
+
+    def find(self, files: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each place is listed, and its value."""
+        found, value = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        for key, low, high in _stretches(files, rows // SIDE_ROWS):
+            row, own = self._load(key)
+            if len(row):
+                at = np.minimum(np.searchsorted(row, rows[low:high]), len(row) - 1)
+                found[low:high] = row[at] == rows[low:high]
+                value[low:high] = np.where(found[low:high], own[at], 0)
+        return found, value
+
+
+def at_places(docs: DataFrame, folder: str, value: str | None = None) -> DataFrame:
+    """Rows of ``docs`` (that has file places) listed in the side files, with their value; without ``value``: those not listed."""
+    whole = F.struct("*").alias("whole")
+    rows = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = Sides(folder)
+        for batch in batches:
+            found, own = sides.find(batch.column(0), batch.column(1).to_numpy())
+            out = pa.RecordBatch.from_arrays([batch.column(2), pa.array(own)], names=["whole", "value"])
+            yield out.filter(pa.array(found if value else ~found))
+
+    kept = rows.mapInArrow(run, StructType([StructField("whole", rows.schema["whole"].dataType), StructField("value", LongType())]))
+    return kept.select("whole.*", *([F.col("value").alias(value)] if value else []))
+
+
+def without_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (that has file places) that are not among the places (file, row)."""
+    folder = new_folder(docs.sparkSession, "gone")
+    write_sides(gone.select("file", "row", F.lit(0).cast("long").alias("value")), folder)
+    return at_places(docs, folder)
+
+
 def memory_map(folder: str, name: str):
     """Buffer over a file: mapped if local, else read."""
     import pyarrow as pa

@@ -4,8 +4,8 @@
 lower-cased, words between ASCII white space) as 64-bit hashes; fewer words make
 one shingle, no words the empty set, which is linked with nothing.
 
-*Classes.*  Rows with equal sets form a class (128-bit set hash); all further
-work is on classes.  The class's 64-bit number is checked to be unique.
+*Classes.*  Rows with equal sets form a class (equal by a 128-bit set hash); all
+further work is on classes.  The class's 64-bit number is checked to be unique.
 
 *Sketches.*  Round i hashes every element to a random bin and a value; a bin
 keeps the least (round, value).  After as many rounds as there are bins, round
@@ -16,13 +16,20 @@ probability of the Jaccard similarity and concentrate like independent ones.
 *Bands.*  ``BANDS`` groups of ``ROWS`` coordinates are bucket keys.  A pair at
 similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.3e-7.
 
-*Links.*  Buckets are not expanded into pairs.  Round one holds each member
-against one bucket leader, round two against all its buckets' leaders that are
-not yet in its component, round three all pairs of one bucket that are still in
-different components, save those that their sizes or the triangle inequality
-of the Jaccard distance to their leader rule out.  Pairs inside one component need no test.
-Every test is exact, on whole sets.  A leader's text is dealt to one salt per
-``CHUNK`` members, so no task gets a whole group.
+*Links.*  Buckets are not expanded into pairs.  First each member is held against
+the least leader (smallest class number) of its buckets; a leader's text is dealt
+to one salt per ``CHUNK`` members.  Buckets whose members are still in several
+components are then looked at as wholes: those that have most members in the same
+component are one *group*, so a class is in few groups although it is in many
+buckets.  A group is dealt to blocks of about ``BLOCK_CLASSES`` classes and
+``BLOCK_SHINGLES`` shingles, and one task holds two blocks: for each member
+outside the largest component it looks up the rarest fifth of the shingles (a
+link shares one of them) in an inverted list and counts the exact intersection
+with what it finds.  Only links that join two components leave the task.  All
+pairs that share a bucket and are not in one component are tested; none is
+dropped.  A group of g classes is g * g / ``BLOCK_CLASSES`` rows of texts, which is
+g for a group within a block.
+Every link is confirmed on the shingles themselves, not on their hashes.
 
 *Components.*  Each node points to its least neighbour; edges are contracted to
 the pointed nodes, again and again, until none is left.
@@ -42,8 +49,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, store
-from .exact import located, plain, with_places
+from .common import Scratch, at_places, documents, partitions, prepare, store, without_places, write_sides
+from .exact import located, plain
 
 #: Bands and coordinates of a band.
 BANDS, ROWS = 40, 5
@@ -51,6 +58,8 @@ BANDS, ROWS = 40, 5
 LEAST = 80
 #: Members that share one copy of their leader's text.
 CHUNK = 200
+#: Classes and shingles of a block of a group.
+BLOCK_CLASSES, BLOCK_SHINGLES = 2000, 1 << 20
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -120,7 +129,7 @@ def _set_hash(sets: list[np.ndarray], seed: int) -> np.ndarray:
     return np.array([_mix(_mix(s + _times(seed)).sum(dtype=np.uint64)[None] + np.uint64(len(s)))[0] for s in sets], np.uint64)
 
 
-def sketched(docs: DataFrame, shingle: int, seed: int = 0) -> DataFrame:
+def sketched(docs: DataFrame, shingle: int, seed: int, scratch: Scratch) -> DataFrame:
     """locator, doc_id, n (set size), cid and check (set hashes), bands of every row."""
     prepare(docs.sparkSession)
     rows = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("locator", "doc_id", "text")
@@ -142,144 +151,222 @@ def sketched(docs: DataFrame, shingle: int, seed: int = 0) -> DataFrame:
             )
 
     schema = "locator struct<file: string, row: bigint>, doc_id long, n long, cid long, `check` long, bands array<long>"
-    return store(rows.mapInArrow(run, schema), "sketches")
+    return scratch.store(rows.mapInArrow(run, schema), "sketches")
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
+def classes_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """One row a class: cid, its first row (absent, doc_id, locator), bands."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "locator", "bands")).alias("first")
     out = rows.where("n > 0").groupBy("cid").agg(first, F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
-    return store(out, "classes")
+    return scratch.store(out, "classes")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node -> root of its component, for all nodes of ``edges`` (a, b)."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node -> root (the least node) of its component, for all nodes of ``edges`` (a, b)."""
     levels = []
-    edges = store(edges.select("a", "b").where("a <> b"), "edges")
+    edges = scratch.store(edges.select("a", "b").where("a <> b"), "edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "pointers")
+        to = scratch.store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "pointers")
         levels.append(to)
         left = edges.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         right = left.join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = right.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = store(edges, "edges")
+        edges = scratch.store(edges, "edges")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = levels[0]
     for to in levels[1:]:
         found = found.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
         found = found.select("node", F.coalesce("next", "root").alias("root"))
-    return store(found, "components")
+    return scratch.store(found, "components")
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(leader, member) pairs with the exact sizes of intersection and union."""
+def full_set(text: str, size: int) -> set[bytes]:
+    """A text's shingles as they are (words hold no spaces)."""
+    own = words(text)
+    k = min(size, len(own))
+    return {b" ".join(own[i : i + k]) for i in range(len(own) - k + 1)}
+
+
+def linked(one: set, other: set) -> bool:
+    both = len(one & other)
+    return 100 * both >= LEAST * (len(one) + len(other) - both)
+
+
+def star_links(pairs: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among (leader, member) pairs."""
     count = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("salts"))
-    leaders = store(count.join(texts.withColumnRenamed("cid", "leader"), "leader"), "leaders")
+    leaders = scratch.store(count.join(texts.withColumnRenamed("cid", "leader"), "leader"), "leaders")
     members = pairs.join(leaders.select("leader", "salts"), "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     members = members.drop("salts").join(texts.select(F.col("cid").alias("member"), "text"), "member")
     leaders = leaders.select("leader", F.col("text").alias("lead_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = members.join(leaders, ["leader", "salt"]).select("leader", "member", "lead_text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
+        held, own, whole = None, None, None
         for batch in batches:
-            both, either = [], []
+            good = []
             for leader, lead_text, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if leader != held:
-                    held, own = leader, shingles(lead_text, shingle)
+                    held, own, whole = leader, shingles(lead_text, shingle), None
                 other = shingles(text, shingle)
                 same = len(np.intersect1d(own, other, assume_unique=True))
-                both.append(same)
-                either.append(len(own) + len(other) - same)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())],
-                names=["leader", "member", "both", "either"],
-            )
+                near = 100 * same >= LEAST * (len(own) + len(other) - same)
+                if near:
+                    whole = full_set(lead_text, shingle) if whole is None else whole
+                    near = linked(whole, full_set(text, shingle))
+                good.append(near)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return scratch.store(rows.mapInArrow(run, "a long, b long"), "star-links")
+
+
+def joining_links(texts: list[str], roots: list[int], blocks: list[int], shingle: int) -> list[tuple[int, int]]:
+    """Links between components, as pairs of roots: enough of them to join all that links join.
+
+    With members of two blocks, pairs inside one block are left to other tasks.
+    """
+    block = np.array(blocks)
+    two = len(np.unique(block)) > 1
+    names, comp = np.unique(np.array(roots, np.int64), return_inverse=True)
+    if len(names) == 1:
+        return []
+    sets = [shingles(t, shingle) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    _, token, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
+    posting = np.concatenate([[0], np.cumsum(freq)])
+    largest = np.bincount(comp).argmax()
+    mark = np.zeros(len(freq), np.int64)
+    whole: dict[int, set] = {}
+    out = []
+    for x in np.flatnonzero(comp != largest).tolist():
+        own = token[first[x] : first[x + 1]]
+        need = -(-LEAST * len(own) // 100)
+        rare = own[np.argsort(freq[own], kind="stable")[: len(own) - need + 1]]
+        near = [owner[posting[t] : posting[t + 1]] for t in rare.tolist() if freq[t] > 1]
+        if not near:
+            continue
+        near = np.unique(np.concatenate(near))
+        near = near[(comp[near] != comp[x]) & (100 * np.minimum(sizes[near], len(own)) >= LEAST * np.maximum(sizes[near], len(own)))]
+        if two:
+            near = near[block[near] != block[x]]
+        if not len(near):
+            continue
+        mark[own] = 1
+        n = sizes[near]
+        ends = np.cumsum(n)
+        flat = token[np.repeat(first[near] - (ends - n), n) + np.arange(ends[-1])]
+        both = np.add.reduceat(mark[flat], ends - n)
+        mark[own] = 0
+        for y in near[100 * both >= LEAST * (len(own) + n - both)].tolist():
+            if comp[y] == comp[x]:
+                continue
+            for z in (x, y):
+                if z not in whole:
+                    whole[z] = full_set(texts[z], shingle)
+            if linked(whole[x], whole[y]):
+                out.append((roots[x], roots[y]))
+                comp[comp == comp[y]] = comp[x]
+        if len(whole) > 512:
+            whole.clear()
+    return out
+
+
+def group_links(groups: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b: roots) between components within groups (g, cid, root, n)."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sizes = groups.groupBy("g").agg(blocks)
+    rows = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.select("g", "cid", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "cid")
+    rows = rows.join(texts, "cid").select("g", "i", "j", "block", "root", "text")
+    rows = rows.repartition(partitions(rows.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
 
-    return store(rows.mapInArrow(run, "leader long, member long, both long, either long"), "tested")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(held):
+            block, root, text = zip(*held, strict=True)
+            found = joining_links(list(text), list(root), list(block), shingle)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        at, held = None, []
+        for batch in batches:
+            for g, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != at and held:
+                    yield answer(held)
+                    held = []
+                at = (g, i, j)
+                held.append(row)
+        if held:
+            yield answer(held)
+
+    return scratch.store(rows.mapInArrow(run, "a long, b long"), "group-links")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """cid -> root, for classes that are linked with another."""
+def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """cid -> root, for classes that share a bucket with another."""
     members = classes.select("cid", "n", F.explode("first.bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = store(buckets.select("key", "leader"), "buckets")
-    placed = store(members.join(buckets, "key"), "placed")
-    pairs = placed.where("cid <> leader").groupBy("leader", F.col("cid").alias("member")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = store(pairs.drop("shared"), "pairs")
-    wanted = pairs.select(F.col("member").alias("cid")).union(pairs.select("leader")).distinct()
-    places = classes.join(wanted, "cid").select("cid", F.col("first.locator").alias("locator"))
-    texts = store(located(docs.select("text")).join(places, "locator").select("cid", "text"), "candidates")
-
-    tested = _tested(pairs.groupBy("member").agg(F.min("leader").alias("leader")).select("leader", "member"), texts, shingle)
-    good = F.expr(f"100 * both >= {LEAST} * either")
-    edges = lambda t: t.where(good).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-    roots = components(edges(tested))
-
-    def apart(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        """Pairs that are not in one component yet and have not been tested."""
-        for side in (x, y):
-            pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-            pairs = pairs.withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        return pairs.where(F.col(f"root_{x}") != F.col(f"root_{y}")).drop(f"root_{x}", f"root_{y}")
-
-    known = tested.select("leader", "member")
-    more = store(apart(pairs, "leader", "member").join(known, ["leader", "member"], "left_anti"), "round-two")
-    if not more.isEmpty():
-        tested = store(tested.unionByName(_tested(more, texts, shingle)), "tested")
-        roots = components(edges(tested))
-
-    # Buckets whose members are still in several components: the pairs across.
-    named = placed.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = store(named, "named")
-    open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    far = tested.select("leader", F.col("member").alias("cid"), (1 - F.col("both") / F.col("either")).alias("far"))
-    across = named.join(open_, "key").join(far, ["leader", "cid"], "left").where("cid <> leader")
-    across = store(across, "across")
-    x = across.select("key", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("far").alias("dx"), F.col("n").alias("nx"))
-    y = across.select("key", F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("far").alias("dy"), F.col("n").alias("ny"))
-    reach = (100 - LEAST) / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= reach, F.lit(True))
-    alike = F.expr(f"100 * least(nx, ny) >= {LEAST} * greatest(nx, ny)")  # of linked sets
-    rest = x.join(y, "key").where("rx < ry").where(alike).where(near).select(F.least("x", "y").alias("leader"), F.greatest("x", "y").alias("member")).distinct()
-    seen = tested.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    rest = store(rest.join(seen, ["leader", "member"], "left_anti"), "round-three")
-    if not rest.isEmpty():
-        tested = tested.unionByName(_tested(rest, texts, shingle))
-        roots = components(edges(tested))
-    return roots.select(F.col("node").alias("cid"), "root")
+    placed = scratch.store(members.join(buckets.select("key", "leader"), "key"), "placed")
+    wanted = placed.groupBy("cid").agg(F.min("leader").alias("leader"))
+    wanted = scratch.store(wanted, "wanted")
+    sides = scratch.folder("candidate-places")
+    write_sides(wanted.join(classes, "cid").select("first.locator.file", "first.locator.row", F.col("cid").alias("value")), sides)
+    texts = scratch.store(at_places(docs.select("text"), sides, "cid"), "candidates")
+
+    roots = components(star_links(wanted.where("leader <> cid").select("leader", F.col("cid").alias("member")), texts, shingle, scratch), scratch)
+    named = placed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = scratch.store(named.select("key", "cid", "n", "root"), "named")
+    # A bucket in several components belongs to the group of the one that most of its members are in.
+    share = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
+    open_ = share.groupBy("key").agg(F.max(F.struct("members", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    groups = named.join(open_.select("key", F.col("most.root").alias("g")), "key").select("g", "cid", "root", "n").distinct()
+    more = components(group_links(scratch.store(groups, "groups"), texts, shingle, scratch), scratch)
+    known = wanted.select("cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    known = known.join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+    return known.select("cid", F.coalesce("next", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """locator, doc_id, n_shingles, component_id, kept of every row."""
     docs = plain(docs.select("doc_id", "text"))
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, shingle, scratch)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
     for seed in range(8):
-        rows = sketched(docs, shingle, seed)
-        classes = classes_of(rows)
+        rows = sketched(docs, shingle, seed, scratch)
+        classes = classes_of(rows, scratch)
         if classes.where("low <> high").isEmpty():
             break
     else:
         raise RuntimeError("set hashes collide under every seed")
-    roots = linked_classes(docs, classes, shingle)
+    roots = linked_classes(docs, classes, shingle, scratch)
     named = classes.select("cid", "first.absent", "first.doc_id", "first.locator").join(roots, "cid", "left")
-    named = store(named.withColumn("root", F.coalesce("root", "cid")), "rooted")
+    named = scratch.store(named.withColumn("root", F.coalesce("root", "cid")), "rooted")
     keep = named.groupBy("root").agg(F.min(F.struct("absent", "doc_id", "locator")).alias("keep"))
-    named = store(named.select("cid", "root").join(store(keep, "keep"), "root").select("cid", "keep"), "kept")
+    named = scratch.store(named.select("cid", "root").join(keep, "root").select("cid", "keep"), "kept")
     some = rows.where("n > 0").select("locator", "doc_id", "n", "cid").join(named, "cid").select(
         "locator", "doc_id", F.col("n").alias("n_shingles"), F.col("keep.doc_id").alias("component_id"),
         (F.col("locator") == F.col("keep.locator")).alias("kept"),
     )
     none = rows.where("n = 0").select("locator", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return some.unionByName(none)
+    return store(some.unionByName(none), "near-duplicates")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, all their columns."""
+    """The rows of ``docs`` that stay, one of each component, all their columns.
+
+    Rows without words stay.  The decisions go to the rows in side files, so
+    texts are not shuffled for them; the files stay until the session's end.
+    """
     docs = plain(docs)
-    gone = near_duplicates(docs, shingle).where("not kept").select(F.col("locator").alias("place"))
-    return with_places(docs).join(gone, "place", "left_anti").select("whole.*")
+    gone = near_duplicates(docs, shingle).where("not kept")
+    return without_places(docs, gone.select("locator.file", "locator.row"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
