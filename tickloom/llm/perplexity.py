@@ -1,56 +1,67 @@
 """Quality by an interpolated modified Kneser-Ney model (operator 6).
 
 The model predicts a text's UTF-8 bytes from the ``ORDER - 1`` bytes before
-them.  It is trained on all trusted text: every document that ``labels`` marks
-with quality 1.  n-grams are counted inside the tasks first, then over all; a
-gram is its bytes as one number, so no two grams are confused.  Continuation
-counts of the lower orders, contexts' totals and the lower order's probability
-meet in joins on context and on suffix, which are sharded by those keys.
-
-Discounts are the modified Kneser-Ney ones (D1, D2, D3+ of each order from its
-counts of counts).  The lowest order is interpolated with the uniform model.
-
-A document's perplexity is exp(-log-likelihood / bytes).  Its threshold is
-the ``QUANTILE`` of the perplexities of trusted documents in its language, however
-few they are (of all trusted documents where the language has none); documents
-above it are not kept.  Those perplexities are held out: trusted documents fall
-into ``FOLDS`` by a hash of doc_id, and each fold is scored with a model of the
-other folds' text.
-
-The model is sent to the tasks in shards of at most ``SHARD_ROWS`` rows, chosen
-by the byte before the predicted one, and the documents are read once for each
-shard; a model within that size is one shard.
-
-Rows: null and empty texts have perplexity 1 and are kept; null doc_ids and
-repeated rows are scored like any; a null language is a language of its own.
-Without trusted text the model is uniform and everything is kept.
+them.  It is trained on trusted text: the documents that ``labels`` marks with
+quality 1, but for one fold in ``FOLDS`` (by a hash of doc_id), which sets the
+thresholds.  n-grams are counted inside the tasks first, then over all; a gram is
+its bytes as one number, so no two grams are confused.
+
+*Model.*  Lower orders have continuation counts (in how many ways a gram goes on
+to the left); grams at the start of a text have raw counts, as nothing precedes
+them.  Discounts are the modified Kneser-Ney ones (D1, D2, D3+ of each order
+from its counts of counts).  The lowest order is interpolated with the uniform
+model.  Context totals and the lower order's probability meet in joins on
+context and suffix.
+
+*Scores.*  Documents fall into blocks of ``BLOCK_ROWS`` rows of a file.  A task
+sends the distinct grams of its part of a block, not one row a position; the
+grams of all blocks meet the counts in joins sharded by gram, order by order
+(an unseen gram takes the weight of its context times its suffix), and each
+block's log-probabilities come back as files in the shared folder.  A second
+reading of the texts adds them up.  Neither the model nor the texts' grams are
+ever in one place, and texts are not shuffled.
+
+*Thresholds.*  A document is kept if its perplexity, exp(-log-likelihood /
+bytes), is within the ``QUANTILE`` of those of held-out trusted documents in its
+language, however few they are (of all held-out ones where the language has none).
+
+Rows: null and empty texts have perplexity 1 and are kept; null doc_ids are never
+trusted; repeated rows are scored each; a null language is a language of its own.
+Without trusted text the model is uniform; without held-out text everything is
+kept.  Very long texts go through in pieces of ``PIECE`` bytes.  Empty tables
+give no rows; extra columns pass by.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, store, table
+from .common import Scratch, Sides, at_places, documents, filesystem, open_input, partitions, prepare, publish, store, table, write_sides
+from .exact import plain
 
-#: Bytes of an n-gram.
-ORDER = 5
-#: Quantile of trusted documents' perplexity that is still kept.
+#: Bytes of an n-gram (at most 7: a gram is a long).
+ORDER = 6
+#: Quantile of held-out trusted documents' perplexity that is still kept.
 QUANTILE = 0.995
-#: Parts of the trusted text; each is scored without itself.
+#: One of so many parts of the trusted documents is held out.
 FOLDS = 5
-#: Rows of the model that a pass over the documents takes.
-SHARD_ROWS = 6_000_000
-#: Bytes that a task counts at once.
-BLOCK = 8 << 20
+#: Rows of a file whose grams are looked up together.
+BLOCK_ROWS = 1 << 15
+#: Files of a block, by gram.
+BLOCK_FILES = 8
+#: Bytes that a task turns into grams at once.
+PIECE = 2 << 20
+#: Languages whose thresholds may be broadcast.
+SMALL = 10_000
 
 
-def grams(raws: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte's gram of full order (texts begin after zero bytes), and its text."""
     pad = b"\0" * (order - 1)
     flat = np.frombuffer(b"".join(pad + r for r in raws), np.uint8).astype(np.int64)
@@ -64,190 +75,293 @@ def grams(raws: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray
     return gram[at], own
 
 
+def pieces(raw: bytes, order: int) -> Iterator[tuple[bytes, int]]:
+    """A text in pieces of PIECE bytes, each after the ``order - 1`` bytes before it; their number goes along."""
+    for at in range(0, max(1, len(raw)), PIECE):
+        low = max(0, at - order + 1)
+        yield raw[low : at + PIECE], at - low
+
+
+def text_grams(raws: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of the texts, and whose they are, for at most about PIECE bytes at a time."""
+    held, size = [], 0
+    for i, raw in enumerate(raws):
+        if len(raw) <= PIECE:
+            held.append((i, raw))
+            size += len(raw)
+            if size >= PIECE:
+                gram, own = grams([r for _, r in held], order)
+                yield gram, np.array([j for j, _ in held])[own]
+                held, size = [], 0
+            continue
+        for part, known in pieces(raw, order):
+            gram, own = grams([part], order)
+            yield gram[known:], np.full(len(gram) - known, i)
+    if size:
+        gram, own = grams([r for _, r in held], order)
+        yield gram, np.array([j for j, _ in held])[own]
+
+
 def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def fold_of(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+def held_out(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)) == 0
+
+
+class Counter:
+    """Distinct numbers with counts, merged now and then."""
+
+    def __init__(self):
+        self.parts, self.size, self.merged = [], 0, 0
 
+    def add(self, gram: np.ndarray, count: np.ndarray | None = None) -> None:
+        if count is None:
+            gram, count = np.unique(gram, return_counts=True)
+        self.parts.append((gram, count))
+        self.size += len(gram)
+        if self.size > 2 * self.merged + (1 << 20):
+            self.result()
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """fold, gram, c: counts of full order over all texts of a fold (of one fold, 0, without the column)."""
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            gram, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            gram, at = np.unique(gram, return_inverse=True)
+            self.parts = [(gram, np.bincount(at, count, len(gram)).astype(np.int64))]
+        self.size = self.merged = sum(len(g) for g, _ in self.parts)
+        return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, c: counts of full order over all texts."""
     prepare(texts.sparkSession)
-    fold = F.col("fold") if "fold" in texts.columns else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(held):
-            for fold, raws in held.items():
-                gram, c = np.unique(grams(raws)[0], return_counts=True)
-                columns = [pa.array(np.full(len(gram), fold, np.int32)), pa.array(gram), pa.array(c.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["fold", "gram", "c"])
-
-        held, size = {}, 0
+        counter = Counter()
         for batch in batches:
-            for fold, raw in zip(batch.column(1).to_pylist(), _raw(batch.column(0)), strict=True):
-                held.setdefault(fold, []).append(raw)
-                size += len(raw)
-                if size >= BLOCK:
-                    yield from counted(held)
-                    held, size = {}, 0
-        if size:
-            yield from counted(held)
-
-    rows = texts.select("text", fold.cast("int").alias("fold")).mapInArrow(run, "fold int, gram long, c long")
-    return rows.groupBy("fold", "gram").agg(F.sum("c").alias("c"))
-
-
-def fit(texts: DataFrame) -> DataFrame:
-    """The model of the texts."""
-    return fit_counts(count_grams(texts).withColumnRenamed("fold", "part"), 1).drop("part")
-
-
-def training_sets(counted: DataFrame) -> DataFrame:
-    """part, gram, c: part k has all folds but k, part ``FOLDS`` has all."""
-    parts = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda k: k != F.col("fold"))
-    return counted.select(F.explode(parts).alias("part"), "gram", "c")
-
-
-def fit_counts(counted: DataFrame, parts: int) -> DataFrame:
-    """For each part the model: kind 0 (order, gram, log probability) and 1 (order, context, log weight of the lower order)."""
-    counts = {ORDER: store(counted.groupBy("part", "gram").agg(F.sum("c").alias("c")), "grams")}
-    for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND((1 << 8 * k) - 1)
-        counts[k] = store(counts[k + 1].groupBy("part", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams")
-    out, lower = None, None
-    for k in range(1, ORDER + 1):
+            for gram, _ in text_grams(_raw(batch.column(0)), order):
+                counter.add(gram)
+            if counter.size > 8 << 20:  # what is distinct may be many
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in counter.result()], names=["gram", "c"])
+                counter = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in counter.result()], names=["gram", "c"])
+
+    return texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def discounts(n: dict[int, int]) -> list[float]:
+    """D1, D2, D3+ from the numbers of grams that were counted once, twice, ..."""
+    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    cut = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
+    return [float(min(max(d, 0.1), i - 0.1)) for i, d in zip((1, 2, 3), cut, strict=True)]
+
+
+def low_bytes(gram: str, k: int) -> Column:
+    return F.col(gram).bitwiseAND((1 << 8 * k) - 1)
+
+
+def merge(df: DataFrame) -> DataFrame:
+    """Joined by a shuffle at every size: the model grows with the corpus."""
+    return df.hint("merge")
+
+
+def fit(counted: DataFrame, scratch: Scratch, order: int = ORDER) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each order the grams' probabilities (gram, p) and the contexts' weights of the lower order (context, weight)."""
+    counts = {order: scratch.store(counted, "grams")}
+    for k in range(order - 1, 0, -1):
+        ways = F.when(F.shiftright(low_bytes("gram", k), 8 * (k - 1)) == 0, F.sum("c")).otherwise(F.count(F.lit(1)))
+        counts[k] = scratch.store(counts[k + 1].groupBy(low_bytes("gram", k).alias("gram")).agg(ways.alias("c")), "grams")
+    out, lower = {}, None
+    for k in range(1, order + 1):
         rows = counts[k]
-        seen = {(r["part"], r["c"]): r["count"] for r in rows.where("c <= 4").groupBy("part", "c").count().collect()}  # at most four rows a part
-        cuts = []
-        for part in range(parts):
-            n1, n2, n3, n4 = (seen.get((part, i), 0) for i in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2) if n1 else 0.0
-            cut = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
-            cuts.append(F.array([F.lit(float(min(max(d, 0.1), i - 0.1))) for i, d in zip((1, 2, 3), cut, strict=True)]))
-        d = F.element_at(F.element_at(F.array(cuts), F.col("part") + 1), F.least(F.col("c"), F.lit(3)).cast("int"))
-        rows = rows.select("part", "gram", "c", d.alias("d"), F.shiftright("gram", 8).alias("context"))
-        contexts = store(rows.groupBy("part", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight")), "contexts")
-        rows = rows.join(contexts, ["part", "context"])
+        cut = discounts({r["c"]: r["count"] for r in rows.where("c <= 4").groupBy("c").count().collect()})  # at most four rows
+        d = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
+        rows = rows.select("gram", "c", d.alias("d"), F.shiftright("gram", 8).alias("context"))
+        contexts = rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
+        contexts = scratch.store(contexts, "contexts")
+        rows = rows.join(merge(contexts), "context")
         if lower is None:
             rows = rows.withColumn("low", F.lit(1 / 256))
         else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(lower, ["part", "suffix"])
+            rows = rows.withColumn("suffix", low_bytes("gram", k - 1)).join(merge(lower), "suffix")
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")
-        rows = store(rows.select("part", "gram", p.alias("p")), "model")
-        lower = rows.select("part", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-        own = rows.select("part", F.lit(0).alias("kind"), F.lit(k).alias("order"), "gram", F.log("p").alias("value"))
-        weights = contexts.select("part", F.lit(1).alias("kind"), F.lit(k).alias("order"), F.col("context").alias("gram"), F.log("weight").alias("value"))
-        own = own.unionByName(weights)
-        out = own if out is None else out.unionByName(own)
+        rows = scratch.store(rows.select("gram", p.alias("p")), "model")
+        lower = rows.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
+        out[k] = (rows, contexts.select("context", "weight"))
     return out
 
 
-class Lookup:
-    """A shard of the model as sorted arrays."""
-
-    def __init__(self, tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
-        self.tables = tables
-
-    def find(self, kind: int, order: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.tables.get((kind, order), (np.zeros(0, np.int64), np.zeros(0)))
-        if not len(keys):
-            return np.zeros(len(gram), bool), np.zeros(len(gram))
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        return keys[at] == gram, values[at]
-
-    def log_probability(self, gram: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gram))
-        open_ = np.arange(len(gram))
-        for k in range(ORDER, 0, -1):
-            own = gram[open_] & ((1 << 8 * k) - 1)
-            found, value = self.find(0, k, own)
-            out[open_[found]] += value[found]
-            open_, own = open_[~found], own[~found]
-            if not len(open_):
-                return out
-            known, weight = self.find(1, k, own >> 8)
-            out[open_] += np.where(known, weight, 0.0)
-        out[open_] += math.log(1 / 256)
-        return out
-
-
-def score(docs: DataFrame, model: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, n_bytes and log_likelihood of every row."""
-    spark = docs.sparkSession
-    prepare(spark)
-    shards = min(256, max(1, math.ceil(model.count() / SHARD_ROWS)))
-    before = F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(255)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows, names = docs.select(*[F.col(f"`{c}`") for c in keep], "text"), [f"part{i}" for i in range(shards)]
+def probabilities(wanted: DataFrame, model: dict, scratch: Scratch, order: int = ORDER) -> DataFrame:
+    """gram, p of distinct grams."""
+    known, weights = model[order]
+    met = wanted.join(merge(known), "gram", "left")
+    if order == 1:
+        return met.join(merge(weights.where("context = 0").select(F.col("weight"))).withColumn("one", F.lit(0)), F.lit(0) == F.col("one"), "left").select(
+            "gram", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) / 256).alias("p")
+        )
+    met = scratch.store(met, "met")
+    rest = met.where("p is null").select("gram", F.shiftright("gram", 8).alias("context"), low_bytes("gram", order - 1).alias("suffix"))
+    rest = scratch.store(rest.join(merge(weights), "context", "left").select("gram", "suffix", F.coalesce("weight", F.lit(1.0)).alias("weight")), "unseen")
+    lower = probabilities(rest.select(F.col("suffix").alias("gram")).distinct(), model, scratch, order - 1)
+    lower = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
+    rest = rest.join(merge(lower), "suffix").select("gram", (F.col("weight") * F.col("low")).alias("p"))
+    return scratch.store(met.where("p is not null").unionByName(rest), "probabilities")
+
+
+def _places(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), *[F.col(f"`{c}`") for c in columns])
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
+    """(file, number of the block, first, end) of a batch's stretches."""
+    coded = batch.column(0).dictionary_encode()
+    code, block = coded.indices.to_numpy(), batch.column(1).to_numpy() // BLOCK_ROWS
+    cuts = np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1
+    bounds = [0, *cuts.tolist(), len(code)]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        if low < high:
+            yield coded.dictionary[code[low]].as_py(), int(block[low]), low, high
+
+
+def block_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """file, block, gram: what each block has to look up (a task's part of a block once)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(key, counter):
+            gram = counter.result()[0]
+            for low in range(0, len(gram), 1 << 16):
+                own = gram[low : low + (1 << 16)]
+                columns = [pa.array([key[0]] * len(own)), pa.array(np.full(len(own), key[1])), pa.array(own)]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "gram"])
+
+        at, counter = None, Counter()
+        for batch in batches:
+            raws = _raw(batch.column(2))
+            for file, block, low, high in _blocks(batch):
+                if (file, block) != at or counter.size > 8 << 20:
+                    if at:
+                        yield from sent(at, counter)
+                    at, counter = (file, block), Counter()
+                for gram, _ in text_grams(raws[low:high], order):
+                    counter.add(gram)
+        if at:
+            yield from sent(at, counter)
+
+    prepare(docs.sparkSession)
+    return _places(docs, "text").mapInArrow(run, "file string, block long, gram long")
+
+
+def write_blocks(rows: DataFrame, folder: str) -> None:
+    """Files with the grams and log-probabilities of each block (rows: name, part, gram, p)."""
+    rows = rows.repartition(partitions(rows.sparkSession), "name", "part").sortWithinPartitions("name", "part", "gram")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(key, held):
+            gram, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            publish(folder, f"{key[0]}-{key[1]}", lambda f: f.write(gram.astype("<i8").tobytes() + np.log(p).astype("<f8").tobytes()))
+
+        at, held, n = None, [], 0
+        for batch in batches:
+            name, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((name[1:] != name[:-1]) | (part[1:] != part[:-1])) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(name)], strict=True):
+                if low == high:
+                    continue
+                key = (int(name[low]), int(part[low]))
+                if key != at and held:
+                    put(at, held)
+                    held = []
+                at = key
+                held.append((batch.column(2).to_numpy()[low:high], batch.column(3).to_numpy()[low:high]))
+        if held:
+            put(at, held)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def read_block(folder: str, name: int) -> tuple[np.ndarray, np.ndarray]:
+    fs, base = filesystem(folder)
+    grams_, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for part in range(BLOCK_FILES):
+        if fs.get_file_info(f"{base}/{name}-{part}").type != pafs.FileType.NotFound:
+            with open_input(folder, f"{name}-{part}") as f:
+                raw = f.read()
+            grams_.append(np.frombuffer(raw[: len(raw) // 2], "<i8"))
+            logs.append(np.frombuffer(raw[len(raw) // 2 :], "<f8"))
+    gram, log = np.concatenate(grams_), np.concatenate(logs)
+    order = np.argsort(gram, kind="stable")
+    return gram[order], log[order]
+
+
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch, sides: str, order: int = ORDER) -> DataFrame:
+    """``keep`` columns, n_bytes, log_likelihood and role (the side file's number, 0 without) of every row of ``docs`` (with file places)."""
+    wanted = block_grams(docs, order)
+    name = F.xxhash64("file", "block").alias("name")
+    named = scratch.store(wanted.select("file", "block", name, "gram").select("name", "gram").distinct(), "wanted")
+    p = probabilities(named.select("gram").distinct(), model, scratch, order)
+    part = F.pmod(F.xxhash64("gram"), F.lit(BLOCK_FILES)).cast("int").alias("part")
+    folder = scratch.folder("block-files")
+    write_blocks(named.join(merge(p), "gram").select("name", part, "gram", "p"), folder)
+    rows = _places(docs, *keep, "text").withColumn("name", F.xxhash64("file", F.floor(F.col("row") / BLOCK_ROWS).cast("long")))
     kept = len(keep)
-    for shard in range(shards):
-        own = model.where((F.pmod(before, F.lit(shards)) == shard) | (F.col("order") == 1))
-        held = spark.sparkContext.broadcast(_collect(own))  # at most about SHARD_ROWS rows
-
-        def run(batches: Iterator[pa.RecordBatch], shard=shard, held=held) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup(held.value)
-            for batch in batches:
-                raws = _raw(batch.column(kept))
-                total = np.zeros(len(raws))
-                low = 0
-                while low < len(raws):  # a block of texts at a time
-                    high, size = low, 0
-                    while high < len(raws) and (high == low or size + len(raws[high]) <= 1 << 20):
-                        size += len(raws[high])
-                        high += 1
-                    gram, text = grams(raws[low:high])
-                    mine = ((gram >> 8) & 255) % shards == shard
-                    gram, text = gram[mine], text[mine]
-                    total[low:high] = np.bincount(text, lookup.log_probability(gram), minlength=high - low)
-                    low = high
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(total)], names=[*keep, "text", *names[:shard], names[shard]]
-                )
-
-        done = "".join(f", {n} double" for n in names[: shard + 1])
-        rows = rows.mapInArrow(run, f"{fields}, text string{done}")
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), total.alias("log_likelihood"))
-
-
-def _collect(own: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    rows = own.toArrow()
-    kind, order, gram, value = (rows.column(i).to_numpy() for i in range(4))
-    out = {}
-    for k in (0, 1):
-        for o in range(1, ORDER + 1):
-            mask = (kind == k) & (order == o)
-            at = np.argsort(gram[mask], kind="stable")
-            out[k, o] = (gram[mask][at].astype(np.int64), value[mask][at].astype(np.float64))
-    return out
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, logs = None, None, None
+        roles = Sides(sides)
+        for batch in batches:
+            raws = _raw(batch.column(kept + 2))
+            total = np.zeros(len(raws))
+            names = batch.column(kept + 3).to_numpy()
+            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)], strict=True):
+                if low == high:
+                    continue
+                if names[low] != at:
+                    at = names[low]
+                    known, logs = read_block(folder, int(at))
+                for gram, text in text_grams(raws[low:high], order):
+                    total[low:high] += np.bincount(text, logs[np.searchsorted(known, gram)], high - low)
+            _, role = roles.find(batch.column(0), batch.column(1).to_numpy())
+            sizes = pa.array([len(r) for r in raws], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[2 : kept + 2], sizes, pa.array(total), pa.array(role)], names=[*keep, "n_bytes", "log_likelihood", "role"]
+            )
+
+    return scratch.store(rows.mapInArrow(run, f"{fields}, n_bytes long, log_likelihood double, role long"), "scored")
+
+
+def trusted_places(docs: DataFrame, labels: DataFrame, folder: str) -> None:
+    """Side files of trusted rows: 1 for training, 2 for what is held out."""
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    rows = _places(docs, "doc_id").withColumn("id", F.col("doc_id").cast("long")).where("id is not null")
+    role = F.when(held_out("id"), 2).otherwise(1).cast("long").alias("value")
+    write_sides(rows.join(merge(trusted), "id").select("file", "row", role), folder)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, log_likelihood, perplexity, threshold, kept of every row."""
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    # Labels grow with the input, so the join is dealt by doc_id at every size.
-    texts = own.join(trusted.hint("merge"), "doc_id", "left_semi").select("text", fold_of("doc_id").alias("fold"))
-    models = store(fit_counts(training_sets(store(count_grams(texts), "fold-grams")), FOLDS + 1), "language-models")
-    model = lambda part: models.where(F.col("part") == part).drop("part")
-    perplexed = lambda rows: rows.withColumn("perplexity", F.exp(-F.col("log_likelihood") / F.greatest(F.lit(1), "n_bytes")))
-    scored = perplexed(store(score(own, model(FOLDS), ("doc_id", "lang")), "scored"))
-    known = None
-    for fold in range(FOLDS):  # without a join to the texts: a fold's other documents are scored too
-        part = score(own.where(fold_of("doc_id") == fold), model(fold), ("doc_id", "lang"))
-        known = part if known is None else known.unionByName(part)
-    known = perplexed(store(known.join(trusted.hint("merge"), "doc_id", "left_semi").where("n_bytes > 0"), "held-out"))
-    cut = lambda rows: rows.agg(F.percentile_approx("perplexity", QUANTILE, 10000).alias("cut"))
-    whole = cut(known.groupBy()).first()
-    by_lang = {r["lang"]: r["cut"] for r in cut(known.groupBy("lang")).collect()}  # one row a language
-    threshold = F.lit(whole["cut"]).cast("double")
-    for lang, limit in sorted(by_lang.items(), key=lambda x: str(x[0])):
-        threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(limit)).otherwise(threshold)
-    scored = scored.withColumn("threshold", threshold)
-    kept = (F.col("n_bytes") == 0) | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))
-    return scored.withColumn("kept", kept)
+    docs = plain(docs.select("doc_id", "text", "lang"))
+    with Scratch(docs.sparkSession) as scratch:
+        sides = scratch.folder("trusted-places")
+        trusted_places(docs, labels, sides)
+        training = at_places(docs.select("text"), sides, "role").where("role = 1")
+        model = fit(count_grams(training), scratch)
+        scored = score(docs, model, ("doc_id", "lang"), scratch, sides)
+        scored = scored.withColumn("perplexity", F.exp(-F.col("log_likelihood") / F.greatest(F.lit(1), "n_bytes")))
+        known = scored.where("role = 2 and n_bytes > 0")
+        cut = lambda rows: rows.agg(F.percentile_approx("perplexity", QUANTILE, 10000).alias("cut"))
+        whole = cut(known.groupBy()).first()["cut"]
+        by_lang = scratch.store(cut(known.groupBy(F.col("lang").alias("own"))), "cuts")
+        by_lang = F.broadcast(by_lang) if by_lang.count() <= SMALL else by_lang
+        found = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
+        found = found.withColumn("threshold", F.coalesce("cut", F.lit(whole).cast("double")))
+        kept = (F.col("n_bytes") == 0) | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))
+        found = found.select("doc_id", "lang", "n_bytes", "log_likelihood", "perplexity", "threshold", kept.alias("kept"))
+        return store(found, "quality")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
