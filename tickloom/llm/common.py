@@ -12,6 +12,7 @@ import uuid
 import zipfile
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -66,14 +67,38 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage."""
+@contextmanager
+def released(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Shuffle files go as soon as the table that needs them is written."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | settings
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    with released(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_through(df: DataFrame) -> None:
+    """Run a plan for what its tasks write."""
+    with released(df.sparkSession):
+        df.write.format("noop").mode("overwrite").save()
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage."""
+    return written(df, new_folder(df.sparkSession, name))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders of the shared place that no later read needs."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -93,9 +118,7 @@ class Scratch:
         return self.paths[-1]
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.folder(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, self.folder(name))
 
     def __enter__(self) -> Scratch:
         return self
@@ -168,7 +191,7 @@ def write_sides(places: DataFrame, folder: str) -> None:
             n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    run_through(rows.mapInArrow(run, "n long"))
 
 
 def _stretches(files: pa.Array, chunks: np.ndarray) -> Iterator[tuple[tuple[str, int], int, int]]:

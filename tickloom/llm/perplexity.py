@@ -42,7 +42,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Sides, at_places, documents, filesystem, open_input, partitions, prepare, publish, store, table, write_sides
+from .common import Scratch, Sides, at_places, documents, filesystem, open_input, partitions, prepare, publish, run_through, store, table, write_sides
 from .exact import plain
 
 #: Bytes of an n-gram (at most 7: a gram is a long).
@@ -53,7 +53,7 @@ QUANTILE = 0.995
 FOLDS = 5
 #: Rows of a file whose grams are looked up together.
 BLOCK_ROWS = 1 << 15
-#: Files of a block, by gram.
+#: Files of a block, by the low bits of a gram (a power of two).
 BLOCK_FILES = 8
 #: Bytes that a task turns into grams at once.
 PIECE = 2 << 20
@@ -254,8 +254,9 @@ def block_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def write_blocks(rows: DataFrame, folder: str) -> None:
-    """Files with the grams and log-probabilities of each block (rows: name, part, gram, p)."""
-    rows = rows.repartition(partitions(rows.sparkSession), "name", "part").sortWithinPartitions("name", "part", "gram")
+    """Files with the grams and log-probabilities of each block (rows: name, gram, p), a file for each low bits of a gram."""
+    low = F.col("gram").bitwiseAND(BLOCK_FILES - 1)
+    rows = rows.select("name", "gram", "p").repartition(partitions(rows.sparkSession), "name", low).sortWithinPartitions("name", low, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(key, held):
@@ -264,7 +265,8 @@ def write_blocks(rows: DataFrame, folder: str) -> None:
 
         at, held, n = None, [], 0
         for batch in batches:
-            name, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            name, gram, p = (c.to_numpy() for c in batch.columns)
+            part = gram & (BLOCK_FILES - 1)
             cuts = np.flatnonzero((name[1:] != name[:-1]) | (part[1:] != part[:-1])) + 1
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(name)], strict=True):
                 if low == high:
@@ -274,12 +276,13 @@ def write_blocks(rows: DataFrame, folder: str) -> None:
                     put(at, held)
                     held = []
                 at = key
-                held.append((batch.column(2).to_numpy()[low:high], batch.column(3).to_numpy()[low:high]))
+                held.append((gram[low:high], p[low:high]))
+                n += 1
         if held:
             put(at, held)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    run_through(rows.mapInArrow(run, "n long"))
 
 
 def read_block(folder: str, name: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,9 +305,8 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch,
     name = F.xxhash64("file", "block").alias("name")
     named = scratch.store(wanted.select("file", "block", name, "gram").select("name", "gram").distinct(), "wanted")
     p = probabilities(named.select("gram").distinct(), model, scratch, order)
-    part = F.pmod(F.xxhash64("gram"), F.lit(BLOCK_FILES)).cast("int").alias("part")
     folder = scratch.folder("block-files")
-    write_blocks(named.join(merge(p), "gram").select("name", part, "gram", "p"), folder)
+    write_blocks(named.join(merge(p), "gram"), folder)
     rows = _places(docs, *keep, "text").withColumn("name", F.xxhash64("file", F.floor(F.col("row") / BLOCK_ROWS).cast("long")))
     kept = len(keep)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
