@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, codec, decontaminate, exact, neardup, perplexity, secrets, substrings, token_files, toxicity, warc
-from tickloom.llm.common import new_folder
+from tickloom.llm.common import Scratch, new_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, locator string, digest string"
@@ -118,6 +119,24 @@ def test_exact_dedup_of_derived_and_empty_tables(spark):
     assert exact.assign(table(spark, [])).count() == 0
 
 
+def test_exact_dedup_reads_on_from_its_state(spark):
+    folder = new_folder(spark, "state")
+    runs = [[(1, "x y"), (2, "x y"), (3, "q")], [(4, "x  y"), (5, "new"), (6, "q"), (0, "q")], [(7, "new"), (9, "z"), (8, "z"), (10, None), (11, "x y")]]
+    seen, first = {}, {}
+    for rows in runs:
+        for i, t in rows:
+            seen.setdefault(exact_form(t), []).append(i)
+        for i, t in sorted(rows):
+            first.setdefault(exact_form(t), i)  # a row of an earlier run stays
+        found = exact.assign(spark.createDataFrame(rows, "doc_id long, text string"), state_dir=folder).collect()
+        want = sorted((i, first[exact_form(t)], len(seen[exact_form(t)]), first[exact_form(t)] == i) for i, t in rows)
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found) == want
+
+
+def exact_form(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
 # 1: decontamination -----------------------------------------------------------------
 
 ITEMS = [(1, " ".join(BASE.split()[5:25])), (2, "ONE"), (3, None), (4, "..."), (None, "one"), (1, " ".join(BASE.split()[5:25])), (10, " ".join(LONG.split()[50:62]).upper())]
@@ -261,53 +280,89 @@ def test_secrets_beside_names_and_base_spans(spark):
 # 6, 7: models ------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one_and_ranks_texts(spark):
-    texts = [sentence(i, 40) for i in range(30)]
-    model = perplexity.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    lookup = perplexity.Lookup(perplexity._collect(model))
-    context = np.frombuffer(b"lore", np.uint8).astype(np.int64)
-    base = sum(int(b) << 8 * (4 - i) for i, b in enumerate(context))
-    assert np.exp(lookup.log_probability(base + np.arange(256))).sum() == pytest.approx(1.0, abs=1e-6)
-    rows = [(i, t) for i, t in enumerate(texts)] + [(100, "@@@ ### %%% ^^^ zzz"), (101, None), (102, sentence(77, 30))]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
-    found = {r["doc_id"]: r for r in perplexity.quality(table(spark, rows), labels).collect()}
-    assert not found[100]["kept"] and found[101]["kept"] and found[101]["perplexity"] == 1.0 and found[102]["kept"]
-    bare = perplexity.quality(table(spark, rows), labels.where("false")).collect()
-    assert len(bare) == len(rows) and all(r["kept"] for r in bare)
-
-
-def test_threshold_is_of_held_out_documents(spark):
-    r = random.Random(8)
-    odd = {i: "".join(chr(r.randrange(33, 127)) for _ in range(60)) for i in (37, 38)}  # 37 is trusted, 38 is not
-    rows = [(i, sentence(i, 40)) for i in range(37)] + [(100, sentence(200, 40).replace("o", "q").replace("e", "j"))] + list(odd.items())
-    plain = spark.createDataFrame([(i, 1, 0) for i in range(37)], "doc_id long, quality int, toxic int")
-    found = {x["doc_id"]: x for x in perplexity.quality(table(spark, rows), plain).collect()}
-    assert all(found[i]["kept"] for i in range(36)) and not found[100]["kept"] and not found[38]["kept"]
-    # The threshold is the largest perplexity of a fold's documents under the model of the others.
-    texts = spark.createDataFrame([(i, t) for i, t in rows if i < 37], "doc_id long, text string").withColumn("fold", perplexity.fold_of("doc_id"))
-    worst = 0.0
-    for fold in range(perplexity.FOLDS):
-        model = perplexity.fit(texts.where(F.col("fold") != fold).select("text"))
-        for x in perplexity.score(texts.where(F.col("fold") == fold), model, ("doc_id",)).collect():
-            worst = max(worst, np.exp(-x["log_likelihood"] / x["n_bytes"]))
-    assert found[0]["threshold"] == pytest.approx(worst)
-
-
-def test_languages_with_few_trusted_documents(spark):
-    rows = [(i, sentence(i, 40), "en") for i in range(24)] + [(24, sentence(24, 40).upper(), "en")] + [(30 + i, sentence(30 + i, 40), "xx") for i in range(3)]
-    docs = spark.createDataFrame([(i, t, lang, "s", 0, "own", "own") for i, t, lang in rows] + [(50, sentence(50, 40), "yy", "s", 0, "own", "own")], DOCS)
-    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
-    limit = {x["lang"]: x["threshold"] for x in perplexity.quality(docs, labels).select("lang", "threshold").distinct().collect()}
-    assert len(limit) == 3 and limit["xx"] < limit["en"] == limit["yy"]
-
-
-def test_model_shards_give_the_same_scores(spark, monkeypatch):
-    texts = [(i, sentence(i, 20)) for i in range(6)]
-    model = perplexity.fit(table(spark, texts)).persist()
-    whole = perplexity.score(table(spark, texts), model, ("doc_id",)).collect()
-    monkeypatch.setattr(perplexity, "SHARD_ROWS", model.count() // 3)
-    parts = perplexity.score(table(spark, texts), model, ("doc_id",)).collect()
-    assert [r["log_likelihood"] for r in parts] == pytest.approx([r["log_likelihood"] for r in whole])
+def brute_kneser_ney(raws, order):
+    """gram -> probability, by the definition: lower orders count left extensions, but raw at the start of a text."""
+    counts = {k: {} for k in range(1, order + 1)}
+    for raw in raws:
+        padded = bytes(order - 1) + raw
+        for i in range(len(raw)):
+            g = padded[i : i + order]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + (c if g[1] == 0 else 1)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        own = counts[len(g)]
+        n = {i: sum(c == i for c in own.values()) for i in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        cuts = [max(0.1, min(i - 0.1, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.0)) for i in (1, 2, 3)]
+        following = [c for x, c in own.items() if x[:-1] == g[:-1]]
+        if not following:
+            return p(g[1:])
+        d = lambda c: cuts[min(c, 3) - 1]
+        c = own.get(g, 0)
+        return ((c - d(c)) if c else 0.0) / sum(following) + sum(map(d, following)) / sum(following) * p(g[1:])
+
+    return p
+
+
+def trained(spark, raws, order, scratch):
+    texts = spark.createDataFrame([(r.decode(),) for r in raws], "text string")
+    return perplexity.fit(perplexity.count_grams(texts, order), scratch, order)
+
+
+def test_kneser_ney_against_its_definition(spark):
+    raws, order = [b"abracadabra", b"abba abra", b"banana", b"abracadabra", b"cab"], 3
+    p = brute_kneser_ney(raws, order)
+    asked = [bytes([a, b, c]) for a in b"\0abrz" for b in b"\0abr " for c in b"abcdrnz"]
+    with Scratch(spark) as scratch:
+        wanted = spark.createDataFrame([(int.from_bytes(g, "big"),) for g in asked], "gram long").distinct()
+        found = {r["gram"]: r["p"] for r in perplexity.probabilities(wanted, trained(spark, raws, order, scratch), scratch, order).collect()}
+    assert len(found) == len(set(asked))
+    assert all(abs(found[int.from_bytes(g, "big")] - p(g)) < 1e-12 for g in asked)
+    for context in (b"ab", b"zz", b"\0\0"):
+        assert abs(sum(p(context + bytes([c])) for c in range(256)) - 1) < 1e-9
+
+
+def quality_rows(n=40):
+    rows = [(i, sentence(100 + i, 40)) for i in range(n)]
+    return [*rows, (100, "zq#x!! " * 30), (101, None), (102, ""), (None, sentence(5, 30)), (103, rows[0][1]), (103, rows[0][1])]
+
+
+def test_quality_scores_each_row(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "PIECE", 100)  # most texts go through in pieces
+    rows = quality_rows()
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100, 0), (None, 1)], "doc_id long, quality int")
+    found = perplexity.quality(stored(spark, rows), labels).collect()
+    assert len(found) == len(rows)
+    one = {r["doc_id"]: r for r in found}
+    assert not one[100]["kept"] and one[101]["kept"] and one[102]["perplexity"] == 1.0
+    held = {r["doc_id"] for r in spark.createDataFrame([(i,) for i in range(40)], "doc_id long").where(perplexity.held_out("doc_id")).collect()}
+    p = brute_kneser_ney([t.encode() for i, t in rows if i is not None and i < 40 and i not in held], perplexity.ORDER)
+    for i in (100, 3):
+        raw = dict(rows)[i].encode()
+        padded = bytes(perplexity.ORDER - 1) + raw
+        want = sum(math.log(p(padded[k : k + perplexity.ORDER])) for k in range(0, len(raw)))
+        assert abs(one[i]["log_likelihood"] - want) < 1e-6
+    limit = max(one[i]["perplexity"] for i in held)
+    assert all(abs(r["threshold"] - limit) < 1e-9 for r in found)
+
+
+def test_quality_of_odd_tables(spark):
+    docs, labels = table(spark, quality_rows(3)), spark.createDataFrame([], "doc_id long, quality int")
+    bare = perplexity.quality(docs, labels).collect()
+    assert len(bare) == 9 and all(r["kept"] and r["threshold"] is None for r in bare)
+    assert perplexity.quality(table(spark, []), labels).count() == 0
+
+
+def test_languages_have_their_own_thresholds(spark):
+    docs = table(spark, quality_rows()).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "xx").when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise("yy"))
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    found = perplexity.quality(docs, labels).collect()
+    assert len({r["threshold"] for r in found}) == 3 and len({(r["lang"], r["threshold"]) for r in found}) == 3
 
 
 def test_toxicity_on_held_out_texts():

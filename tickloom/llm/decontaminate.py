@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, store, table
-from .exact import plain, with_places
+from .common import documents, prepare, store, table, without_places
+from .exact import located, plain
 
 #: Words of a segment.
 SEGMENT_WORDS = 1 << 20
@@ -272,10 +272,12 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) ->
     The index holds each row's place in the input instead of its doc_id, so
     repeated and null doc_ids are told apart.
     """
-    rows = with_places(plain(docs))
-    places = rows.select(F.xxhash64("place").alias("doc_id"), "whole.text")
-    hit = match_items(build_index(places), items, window).where(F.size("first") > 0).select(F.col("doc_id").alias("hit"))
-    return rows.join(hit, F.xxhash64("place") == F.col("hit"), "left_anti").select("whole.*")
+    docs = plain(docs)
+    place = F.xxhash64("locator")
+    hit = match_items(build_index(located(docs.select("text")).select(place.alias("doc_id"), "text")), items, window)
+    hit = hit.where(F.size("first") > 0).select("doc_id").distinct()
+    gone = located(docs.select("text")).select("locator", place.alias("doc_id")).join(hit, "doc_id")
+    return without_places(docs, gone.select("locator.file", "locator.row"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
