@@ -55,6 +55,8 @@ THRESHOLD, PER_PAIR = 16.0, 0.7
 LONGEST = 2 * math.ceil(THRESHOLD / PER_PAIR)
 #: Weight of a character's own frequency in the estimate of what follows another.
 BACKOFF = 8.0
+#: Matches that are placed together.
+CHUNK = 256
 #: Documents of each labelled sample.
 SAMPLE = 2000
 
@@ -66,25 +68,28 @@ def _quoted(pattern: str) -> str:
 
 
 def spans(text: str, pattern: str, kind: int, keep: str = "true") -> str:
-    """SQL for an array of (start, kind, end) of the matches x.m for which ``keep`` holds."""
+    """SQL for an array of (start, kind, end) of the matches m for which ``keep`` holds."""
     p = _quoted(pattern)
+    found = f"""zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (p, m) -> named_struct(
+      'p', length(p), 'm', coalesce(length(m), 0), 'keep', m IS NOT NULL AND {keep}))"""
+    chunks = f"""transform(array({found}), f -> transform(sequence(0, (size(f) - 1) DIV {CHUNK}), i -> slice(f, i * {CHUNK} + 1, {CHUNK})))[0]"""
+    # Where each chunk begins, then the matches inside of each: no list longer than a chunk (or than there are chunks) is ever extended.
+    begins = """aggregate(c, named_struct('at', 0, 'out', cast(array() AS array<int>)),
+      (s, x) -> named_struct('at', s.at + aggregate(x, 0, (n, y) -> n + y.p + y.m), 'out', concat(s.out, array(s.at))), s -> s.out)"""
+    inside = f"""aggregate(x, named_struct('at', b, 'out', {NO_SPANS}),
+      (s, y) -> named_struct('at', s.at + y.p + y.m, 'out', CASE WHEN y.keep
+        THEN concat(s.out, array(named_struct('start', s.at + y.p, 'kind', {kind}, 'end', s.at + y.p + y.m))) ELSE s.out END),
+      s -> s.out)"""
     return f"""
-    CASE WHEN {text} RLIKE {p} THEN aggregate(
-      zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (p, m) -> named_struct('p', p, 'm', m)),
-      named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, kind: int, end: int>>)),
-      (s, x) -> named_struct(
-        'at', s.at + length(x.p) + coalesce(length(x.m), 0),
-        'out', CASE WHEN x.m IS NOT NULL AND ({keep})
-          THEN concat(s.out, array(named_struct('start', s.at + length(x.p), 'kind', {kind}, 'end', s.at + length(x.p) + length(x.m))))
-          ELSE s.out END),
-      s -> s.out)
-    ELSE cast(array() AS array<struct<start: int, kind: int, end: int>>) END"""
+    CASE WHEN {text} RLIKE {p}
+    THEN transform(array({chunks}), c -> flatten(zip_with(c, {begins}, (x, b) -> {inside})))[0]
+    ELSE {NO_SPANS} END"""
 
 
 def with_base(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and the sorted base spans."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    long_enough = f"length(regexp_extract(x.m, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_VALUE}"
+    long_enough = f"length(regexp_extract(m, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_VALUE}"
     found = [spans("text", ASSIGN, 0, long_enough), spans("text", ACCESS, 1), spans("text", HEX, 2)]
     return rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(found)}))"))
 
@@ -92,7 +97,7 @@ def with_base(docs: DataFrame) -> DataFrame:
 def pair_counts(tokens: DataFrame) -> DataFrame:
     """Counts of neighbouring characters over the distinct values of ``token``."""
     pairs = tokens.select("token").distinct().selectExpr(
-        "explode(transform(sequence(1, greatest(1, length(token) - 1)), i -> substr(token, i, 2))) AS pair"
+        "explode(transform(array(split(token, '')), c -> zip_with(c, slice(c, 2, size(c)), (a, b) -> concat(a, b)))[0]) AS pair"
     )
     return pairs.where("length(pair) = 2").groupBy("pair").count()
 
