@@ -23,9 +23,10 @@ dictionary is trained on those windows of toxic texts that are typical of them
 text; the ordinary dictionary on ordinary texts.
 
 Rows: null and empty texts have no windows and get the score of a text without
-any; null doc_ids are never used for training; every row gives one row.  With no
-labelled rows of one class all scores are the share of toxic labels (0 when
-there are none).  Scores never use labels, language, source or doc_id.
+any; null doc_ids are never used for training; every row gives one row.  Without
+labelled rows of both classes nothing tells them apart: all scores are 0 and
+nothing is rejected.  Scores never use labels, language, source or doc_id.  Empty
+tables give no rows; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import documents, prepare, table
 
@@ -78,12 +80,12 @@ def held_out_column(doc_id: str = "doc_id"):
 class Model:
     """Two trained dictionaries and a calibration."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float] | None, prior: float):
-        self.toxic, self.ordinary, self.weights, self.prior = toxic, ordinary, weights, prior
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float] | None):
+        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
         self._distance: _Distances | None = None
 
     def __getstate__(self):
-        return (self.toxic, self.ordinary, self.weights, self.prior)
+        return (self.toxic, self.ordinary, self.weights)
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -101,7 +103,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
-            return self.prior
+            return 0.0
         *w, bias = self.weights
         z = bias + sum(a * b for a, b in zip(w, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
@@ -192,13 +194,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
     """From (text, toxic) rows in an order that does not depend on the label."""
     rows = distinct_texts(rows)
     by = [[t for t, y in rows if y == c] for c in (0, 1)]
-    prior = len(by[1]) / max(1, len(by[0]) + len(by[1]))
     if min(map(len, by)) < 2:
-        return Model(b"", b"", None, prior)
+        return Model(b"", b"", None)
     (ordinary, ordinary2), (toxic, toxic2) = [(x[::2], x[1::2]) for x in by]
     chosen = typical(toxic, ordinary)
     samples = [(" " + " ".join(own) + " ").encode() for t in toxic if (own := [w for w in map(bare, windows(t)) if w in chosen])]
-    model = Model(train_dictionary(samples or [t.encode() for t in toxic]), train_dictionary(ordinary_samples(ordinary)), None, prior)
+    model = Model(train_dictionary(samples or [t.encode() for t in toxic]), train_dictionary(ordinary_samples(ordinary)), None)
     x = np.array([model.features(t) for t in [*ordinary2, *toxic2, ""]])
     y = np.array([0.0] * len(ordinary2) + [1.0] * len(toxic2) + [0.0])
     model.weights = calibrate(x, y)
@@ -243,7 +244,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     spark = docs.sparkSession
     prepare(spark)
     held = spark.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY bytes
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -251,12 +252,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             found = pa.array([m.score(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, f"{fields}, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, all their columns."""
-    return score(docs, model, tuple(c for c in docs.columns if c != "text") + ("text",)).where("score < 0.5").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("whole"), "text")
+    return score(whole, model, ("whole",)).where("score < 0.5").select("whole.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
