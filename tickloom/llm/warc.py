@@ -17,6 +17,7 @@ Extra columns pass by.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -43,6 +44,19 @@ class WarcError(ValueError):
     pass
 
 
+def digest_matches(stated: str, data: bytes) -> bool:
+    """Is ``algorithm:value`` the digest of the data?  The value may be hexadecimal or base 32.
+
+    Of an algorithm that is not known here nothing can be said; that is no damage.
+    """
+    name, _, value = stated.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    raw, value = hashlib.new(name, data).digest(), value.strip()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member of its own."""
     head = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
@@ -91,6 +105,8 @@ def read_members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
                 if not head.startswith(b"WARC/"):
                     raise WarcError("not a WARC record")
                 fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines)}
+                if not fields.get("content-length", "").isdigit():
+                    raise WarcError("a record without Content-Length cannot be framed")
                 need = int(fields["content-length"])
                 del plain[: end + 4]
             if z.eof:
@@ -101,28 +117,33 @@ def read_members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if head is None or len(plain) != need + 4 or plain[need:] != b"\r\n\r\n":
             raise WarcError("the block does not match its Content-Length")
         block = bytes(plain[:need])
-        if "warc-block-digest" in fields and fields["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
+        if not digest_matches(fields.get("warc-block-digest", ""), block):
             raise WarcError("the block does not match its digest")
         yield fields, block
         rest = rest or stream.read(READ)
 
 
-def read_records(stream) -> Iterator[tuple[int | None, int, str, str, int | None, bytes | None]]:
-    """page_id, payload bytes, payload digest, type, refers_to, payload (of responses)."""
+def read_records(stream) -> Iterator[tuple[int | None, int | None, str | None, str, int | None, bytes | None]]:
+    """page_id, payload bytes, payload digest, type, refers_to, payload (of responses).
+
+    A response's size and SHA-256 are those of its payload, whatever its head
+    says or leaves out; a revisit's are the stated ones, null where it states none.
+    """
     for fields, block in read_members(stream):
-        if fields["warc-type"] not in ("response", "revisit"):
+        kind = fields.get("warc-type")
+        if kind not in ("response", "revisit"):
             continue
         http, _, payload = block.partition(b"\r\n\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.decode("latin-1").partition(":") for x in http.split(b"\r\n")[1:])}
-        size, digest = int(headers["content-length"]), fields["warc-payload-digest"].removeprefix("sha256:")
-        response = fields["warc-type"] == "response"
-        if response and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-            raise WarcError("the payload does not match its digest")
+        length, stated = headers.get("content-length", ""), fields.get("warc-payload-digest", "")
+        if kind == "response":
+            if length.isdigit() and len(payload) != int(length) or not digest_matches(stated, payload):
+                raise WarcError("the payload does not match its head or its digest")
+            size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        else:
+            size, digest, payload = int(length) if length.isdigit() else None, stated.removeprefix("sha256:") or None, None
         own, other = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-        yield (
-            int(own) if own is not None else None, size, digest, fields["warc-type"],
-            int(other) if other is not None else None, payload if response else None,
-        )
+        yield int(own) if own is not None else None, size, digest, kind, int(other) if other is not None else None, payload
 
 
 def with_first(pages: DataFrame) -> DataFrame:
