@@ -11,9 +11,10 @@ hold is spread over all segments and nothing is shuffled.
 *Search.*  Queries go to all segments in blocks of at most ``BLOCK_BYTES`` of
 query text.  In a segment a phrase starts from its rarest term's list, moved
 back by the term's offset, and is intersected with the other offset-adjusted
-lists from rare to frequent, until it is empty.  Proximity search starts from
-the rarest term and keeps those positions that have all other terms within
-``slop`` words.
+lists from rare to frequent, until it is empty; windows with a term that the
+segment lacks are ruled out together beforehand.  Proximity search
+(``match_near``) starts from the rarest term, rules out what has another term too
+far away, and gives the spans of ``slop`` words of a document that hold all terms.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and of all characters
 beyond ASCII.  A window is ``window`` consecutive words of an item; a shorter
@@ -143,27 +144,28 @@ class Segment:
         return found
 
     def near(self, terms: list[bytes], slop: int) -> np.ndarray:
-        """Positions of the rarest term with all others within ``slop`` words of one document."""
+        """Where, at one of the terms, ``slop`` words of one document begin that hold all of them."""
         lists = sorted((self.postings(t) for t in set(terms)), key=len)
         if not lists or not len(lists[0]):
             return self.positions[:0]
-        found = lists[0].astype(np.int64)
-        doc = np.searchsorted(self.starts, found, "right") - 1
-        low, high = np.maximum(found - slop, self.starts[doc]), np.minimum(found + slop, self.starts[doc + 1] - 2)
-        keep = np.ones(len(found), bool)
-        for own in lists[1:]:
-            at = np.searchsorted(own, low)
+        rare = lists[0].astype(np.int64)
+        for own in lists[1:]:  # each other term no farther than a span on either side
+            at = np.searchsorted(own, rare - slop + 1)
             ok = at < len(own)
-            ok[ok] = own[at[ok]] <= high[ok]
+            ok[ok] = own[at[ok]] < rare[ok] + slop
+            rare = rare[ok]
+        spans = np.unique((rare[:, None] - np.arange(slop)).ravel())
+        doc = np.searchsorted(self.starts, spans, "right") - 1
+        end = np.minimum(spans + slop, self.starts[np.minimum(doc + 1, len(self.starts) - 1)] - 1)
+        begins = np.zeros(len(spans), bool)
+        keep = spans >= 0
+        for own in lists:
+            at = np.searchsorted(own, spans)
+            ok = at < len(own)
+            ok[ok] = own[at[ok]] < end[ok]
             keep &= ok
-        return found[keep]
-
-
-def windows(text: str | None, window: int) -> list[tuple[bytes, ...]]:
-    own = words(text)
-    if not own:
-        return []
-    return list({tuple(own[i : i + window]) for i in range(max(1, len(own) - window + 1))})
+            begins[ok] |= own[at[ok]] == spans[ok]
+        return spans[keep & begins]
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
@@ -190,10 +192,7 @@ def match_items(index: DataFrame, items: DataFrame, window: int = 10) -> DataFra
         held = spark.sparkContext.broadcast(block)  # at most BLOCK_BYTES of text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked: dict[tuple[bytes, ...], set] = {}
-            for item, text in held.value:
-                for w in windows(text, window):
-                    asked.setdefault(w, set()).add(item)
+            asked = Asked(held.value, window)
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield answer(Segment(*row), asked, whole)
@@ -204,13 +203,39 @@ def match_items(index: DataFrame, items: DataFrame, window: int = 10) -> DataFra
     return found[0] if len(found) == 1 else merge(found)
 
 
-def answer(segment: Segment, asked: dict, whole: bool) -> pa.RecordBatch:
+class Asked:
+    """The distinct windows of a block of items, by the numbers of their terms."""
+
+    def __init__(self, block: list[tuple[int | None, str]], window: int):
+        number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set] = {}
+        for item, text in block:
+            own = [number.setdefault(w, len(number)) for w in words(text)]
+            for i in range(max(1, len(own) - window + 1) if own else 0):
+                found.setdefault(tuple(own[i : i + window]), set()).add(item)
+        self.terms, self.owners = list(number), list(found.values())
+        by: dict[int, list[int]] = {}
+        windows = list(found)
+        for i, w in enumerate(windows):
+            by.setdefault(len(w), []).append(i)
+        self.by_size = [(np.array(at), np.array([windows[i] for i in at], np.int32)) for at in by.values()]
+
+    def possible(self, segment: Segment) -> Iterator[tuple[list[bytes], set]]:
+        """Windows all of whose terms the segment holds, and whose they are."""
+        held = np.fromiter(map(segment.number.__contains__, self.terms), bool, len(self.terms))
+        for at, numbers in self.by_size:
+            ok = np.flatnonzero(held[numbers].all(1))
+            for i, own in zip(at[ok].tolist(), numbers[ok].tolist(), strict=True):
+                yield [self.terms[k] for k in own], self.owners[i]
+
+
+def answer(segment: Segment, asked: Asked, whole: bool) -> pa.RecordBatch:
     """A segment's documents (``whole``: all, else those with hits) with their hits."""
     n = len(segment.doc_ids)
     hit = np.zeros(segment.starts[-1] + 1, np.int32)
     items: list[set] = [set() for _ in range(n)]
-    for terms, owners in asked.items():
-        found = segment.phrase(list(terms))
+    for terms, owners in asked.possible(segment):
+        found = segment.phrase(terms)
         if len(found):
             np.add.at(hit, found, 1)
             np.add.at(hit, found + len(terms), -1)
@@ -254,6 +279,46 @@ def merge(found: list[DataFrame]) -> DataFrame:
     return rows.select("segment", "ordinal", "doc_id", "n_words", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"), "items")
 
 
+NEAR = "segment string, ordinal long, doc_id long, item_id long, positions array<int>"
+
+
+def match_near(index: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
+    """Proximity matches: documents and items all of whose distinct words stand within ``slop`` words.
+
+    ``positions``: the words of the document at which such a span begins (with
+    one of the item's words).  Items without words match nothing; each row of
+    ``items`` answers for itself.
+    """
+    spark = index.sparkSession
+
+    def search(block: list[tuple[int | None, str]]) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)  # at most BLOCK_BYTES of text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = [(item, list(dict.fromkeys(words(text)))) for item, text in held.value]
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    segment, out = Segment(*row), []
+                    for item, terms in asked:
+                        found = segment.near(terms, slop) if terms and all(t in segment.number for t in terms) else ()
+                        if not len(found):
+                            continue
+                        doc = np.searchsorted(segment.starts, found, "right") - 1
+                        for d in np.unique(doc).tolist():
+                            own = None if segment.doc_nulls[d] else int(segment.doc_ids[d])
+                            out.append((segment.name, d, own, item, (found[doc == d] - segment.starts[d]).tolist()))
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                    columns = zip(*out, strict=True) if out else [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in NEAR.split(", ")])
+
+        return index.mapInArrow(run, NEAR)
+
+    rows = None
+    for found in [search(b) for b in blocks(items)] or [search([])]:
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items of each document."""
     found = match_items(build_index(docs), items, window)
