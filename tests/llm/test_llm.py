@@ -175,10 +175,28 @@ def test_index_without_items_and_proximity(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontaminate.contamination(table(spark), none).collect())
     segment = decontaminate.Segment(*decontaminate.build_index(spark.createDataFrame([(1, "a b c d e"), (2, "e x x x a")], "doc_id long, text string").coalesce(1)).first())
-    assert segment.near([b"a", b"c"], 2).tolist() == [2] and segment.near([b"a", b"e"], 3).tolist() == [] and len(segment.near([b"a", b"e"], 4)) == 2
+    assert segment.near([b"a", b"c"], 3).tolist() == [0] and segment.near([b"a", b"e"], 4).tolist() == [] and segment.near([b"a", b"e"], 5).tolist() == [0, 6]
     assert segment.phrase([b"e", b"e"]).tolist() == []
 
 
+def test_proximity_against_brute_force(spark):
+    rows = [(1, "alpha x x beta y y gamma"), (2, "gamma x x x x x alpha beta"), (None, "beta alpha gamma"), (4, None), (5, "alpha beta"), (6, "gamma. x alpha x x BETA")]
+    items = [(1, "alpha beta gamma"), (2, ""), (None, "alpha beta"), (3, None), (4, "alpha missing")]
+    index = decontaminate.build_index(table(spark, rows))
+    word = re.compile(r"[A-Za-z]+")
+    for slop in (1, 2, 3, 6, 7, 50):
+        found = decontaminate.match_near(index, spark.createDataFrame(items, "item_id long, text string"), slop).collect()
+        want = {}
+        for i, t in rows:
+            w = [x.lower() for x in word.findall(t or "")]
+            for item, q in items:
+                q = set(word.findall(q or ""))
+                if begins := [p for p, x in enumerate(w) if x in q and q <= set(w[p : p + slop])]:
+                    want[i, item] = begins
+        assert {(r["doc_id"], r["item_id"]): r["positions"] for r in found} == want
+    assert decontaminate.match_near(index, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 # 5: near copies ---------------------------------------------------------------------
 
 
@@ -277,6 +295,19 @@ def test_secrets_beside_names_and_base_spans(spark):
     assert sum(bool(found[300 + i][1]) for i in range(40)) == 0
 
 
+def test_long_texts_with_many_matches(spark):
+    import time
+
+    r = random.Random(7)
+    labelled = [(i, "token=" + "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(40)) + " " + sentence(i, 20)) for i in range(80)]
+    model = secrets.train(table(spark, labelled))
+    texts = [(1, "token=abcdefgh1 " * 100_000), (2, "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(1_000_000))), (3, "a" * 1_000_000)]
+    begin = time.monotonic()
+    found = {x["doc_id"]: x["spans"] for x in secrets.scan(table(spark, texts), model).select("doc_id", "spans").collect()}
+    assert len(found[1]) == 100_000 and found[1][-1][2] == 16 * 100_000 - 1 and found[2] == [(0, 3, 1_000_000)]
+    assert time.monotonic() - begin < 240
+
+
 # 6, 7: models ------------------------------------------------------------------------------
 
 
@@ -395,6 +426,14 @@ def test_toxicity_keeps_columns_and_rows(spark):
     assert toxicity.without_toxic(table(spark), model).columns == table(spark).columns
 
 
+def test_toxicity_with_one_class_or_clashing_names(spark):
+    model = toxicity.train([("all bad words", 1), ("more bad ones", 1)])
+    docs = table(spark).withColumn("score", F.lit(0.9)).withColumn("whole", F.lit(1))
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS)
+    assert toxicity.without_toxic(table(spark, []), model).count() == 0
+
+
 # 8: repeated strings -------------------------------------------------------------------------
 
 
@@ -455,6 +494,25 @@ def test_warc_reader_refuses_damage():
         list(warc.read_records(io.BytesIO(gzip.compress(gzip.decompress(good).replace(b"payload", b"paYload")))))
 
 
+def warc_record(kind, http, payload, **fields):
+    listed = [("WARC-Type", kind), *((k.replace("_", "-"), v) for k, v in fields.items())]
+    return warc.record(listed, http + b"\r\n\r\n" + payload)
+
+
+def test_warc_reader_takes_the_usual_forms():
+    import base64
+
+    raw, head = b"<p>payload</p>", b"HTTP/1.1 200 OK\r\nServer: x"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    good = warc_record("response", head, raw, WARC_Payload_Digest=sha1) + warc_record("response", head, raw)
+    good += warc_record("revisit", head, b"", WARC_Payload_Digest=sha1) + warc_record("response", head, raw, WARC_Payload_Digest="other:1")
+    want = (None, len(raw), hashlib.sha256(raw).hexdigest(), "response", None, raw)
+    found = list(warc.read_records(io.BytesIO(good)))
+    assert found == [want, want, (None, None, sha1, "revisit", None, None), want]
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(warc_record("response", head, b"other", WARC_Payload_Digest=sha1))))
+
+
 # The pipeline ----------------------------------------------------------------------------------
 
 
