@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import pytest
 
+from tickloom.config import Config
 from tickloom.plans import runs
 from tickloom.sources import api, saved_files
 
@@ -36,6 +37,23 @@ def test_saved_payloads(spark, tmp_path):
         saved_files.raw_articles(spark, replace(config, saved_files_dir=str(tmp_path / "none")))
 
 
+def test_configuration_keys():
+    base = {"run_id": "r", "symbols": ["SPY"], "source_sets": ["broad_news"], "news_windows_minutes": [60], "measurement_horizons_minutes": [60]}
+    config = Config.from_dict(base | {"dataset_date_start": "2025-07-01", "dataset_date_end": "2025-07-07"})
+    assert (config.dataset_start, config.dataset_end) == ("2025-07-01", "2025-07-07")
+    for wrong in ({"unheard_of": 1}, {"dataset_date_start": "2025-07-08", "dataset_date_end": "2025-07-07"}, {"news_source": "api"}):
+        with pytest.raises(ValueError):
+            Config.from_dict(base | wrong)
+
+
+def test_ordinals_follow_paths_and_places(spark, tmp_path):
+    for name, ids in (("massive_B", ["b0", "b1"]), ("massive_A", ["a0"]), ("massive_C", [])):
+        results = [{"id": i, "title": "t", "published_utc": "2025-07-01T00:00:00Z"} for i in ids]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"results": results, "status": "OK"}))
+    rows = saved_files.massive_articles(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r["vendor_id"] for r in rows] == ["a0", "b0", "b1"] and len({r["ordinal"] for r in rows}) == 3
+
+
 def test_client_pages_caches_retries_and_gives_up(tmp_path):
     answers = [(429, "slow"), (200, json.dumps({"next_url": "https://x/?cursor=abc&x=1"})), (200, "{}")]
     waits, now = [], [0.0]

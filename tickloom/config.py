@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, fields
+from datetime import date
 from pathlib import Path
 
 
+#: Keys of configuration files, where they are not the fields' own names.
+RENAMED = {"dataset_date_start": "dataset_start", "dataset_date_end": "dataset_end"}
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Limits of the decision gates."""
@@ -65,14 +70,21 @@ class Config:
                 "saved_files_dir is required when a source is saved_files",
             ),
         ]
+        bounds = [date.fromisoformat(d) if d else None for d in (self.dataset_start, self.dataset_end)]
+        problems += [
+            (all(bounds) and bounds[0] > bounds[1], "the first date must not be after the last"),
+            ("api" in (self.news_source, self.price_source) and not all(bounds), "an api source needs both dates"),
+        ]
         for wrong, message in problems:
             if wrong:
                 raise ValueError(message)
 
     @classmethod
     def from_dict(cls, values: dict) -> Config:
-        known = {f.name for f in fields(cls)}
-        values = {k: v for k, v in values.items() if k in known}
+        values = {RENAMED.get(k, k): v for k, v in values.items()}
+        unknown = sorted(set(values) - {f.name for f in fields(cls)})
+        if unknown:
+            raise ValueError(f"unknown configuration keys: {', '.join(unknown)}")
         if isinstance(values.get("verdict_thresholds"), dict):
             values["verdict_thresholds"] = Thresholds(**values["verdict_thresholds"])
         return cls(**values)

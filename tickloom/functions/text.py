@@ -1,8 +1,7 @@
 """Lexicon sentiment in DataFrame functions alone.
 
 A lexicon is a table (word, tone, valence): tone +1 or -1 for the balance-sheet
-lists, valence a real number, either may be null.  Tables up to
-``ARRAY_WORDS`` words become map literals of the plan; longer ones are joined on
+lists, valence a real number, either may be null.  Tokens meet it in a join on
 the word.
 """
 
@@ -14,8 +13,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that may be held in the plan itself.
-ARRAY_WORDS = 4096
 # Weights, normalisation, negation and label limits.
 TONE_WEIGHT, VALENCE_WEIGHT = 0.5, 0.5
 VALENCE_NORM, NEGATION = 15.0, -0.74

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
 from dataclasses import asdict, replace
 from pathlib import Path
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import calendar as cal
+from ..functions import text
 from ..operators import audit, backtest, normalize, observations, stats, verdict
 from ..operators.stats import KEY
-from ..sources import fixture, registry, snapshot
+from ..sources import api, fixture, registry, snapshot
 
 
 def _calendar(spark: SparkSession, config: Config, raw: DataFrame, bars: DataFrame) -> DataFrame:
@@ -27,14 +29,18 @@ def _calendar(spark: SparkSession, config: Config, raw: DataFrame, bars: DataFra
 
 def ingest(spark: SparkSession, config: Config, words: DataFrame | None = None) -> tuple[str, Path]:
     """Fetch, normalize and publish a data set."""
-    raw, bars = registry.news_source(config)(spark, config), registry.price_source(config)(spark, config)
+    shared = registry.client(config)
+    raw, bars = registry.news_source(config, shared)(spark, config), registry.price_source(config, shared)(spark, config)
+    words = words if words is not None else fixture.lexicon(spark)
     gated = normalize.gated(raw, config)
-    articles = normalize.normalized(gated, config, _calendar(spark, config, raw, bars), words if words is not None else fixture.lexicon(spark))
+    articles = normalize.normalized(gated, config, _calendar(spark, config, raw, bars), words)
     tables = {
         "raw_articles": raw, "gated": gated.select("vendor_id", "reason"), "normalized_articles": articles, "set_aside_articles": normalize.set_aside(gated),
         "price_bars": bars, "source_catalog": normalize.source_catalog(raw),
     }
-    facts = {"kind": "dataset", "vendors": registry.vendor_names(config), "symbols": config.symbols, "generated_at": config.generated_at}
+    if shared.log:
+        tables["ingest_log"] = api.ingest_log(spark, shared)
+    facts = {"kind": "dataset", "vendors": registry.vendor_names(config), "symbols": config.symbols, "generated_at": config.generated_at, "scorer": snapshot.content_hash(words)}
     return snapshot.write_snapshot(Path(config.output_root), "datasets", "ds", tables, facts, ("raw_articles",))
 
 
@@ -72,7 +78,10 @@ def run_analyze(spark: SparkSession, config: Config, observation_set: str, run_i
     audit.assert_no_lookahead(tables["normalized_articles"], rows)
     metrics, trades = backtest.backtest(rows, config, config.costs_bps[0], run_id)
     found = verdict.analyze(rows, metrics, tables["gated"], tables["normalized_articles"], tables["source_catalog"], config)
-    analysis = [r.asDict() for r in found.orderBy(*KEY).collect()]  # one row a configuration
+    held = metrics.where("strategy = 'sentiment' and split = 'holdout'").select(*KEY, *snapshot.SUMMARY[snapshot.SUMMARY.index("trade_count") :])
+    agreement = verdict.vendor_agreement(tables["normalized_articles"]).first()
+    shared = {"vendor_agreement": (agreement and agreement[0]) or 0.0}
+    analysis = [r.asDict() | shared for r in found.join(held, KEY, "left").orderBy(*KEY).collect()]  # one row a configuration
     out = Path(config.output_root) / "runs" / run_id
     (out / "reports").mkdir(parents=True, exist_ok=True)
     symbols = rows.select("symbol").distinct().count()
@@ -80,6 +89,8 @@ def run_analyze(spark: SparkSession, config: Config, observation_set: str, run_i
     (out / "config.json").write_text(json.dumps(asdict(config), indent=2) + "\n")
     (out / "validity.json").write_text(json.dumps({"valid": valid, "symbols_with_observations": symbols}) + "\n")
     (out / "reports" / "analysis_summary.json").write_text(json.dumps(analysis, indent=2, default=str) + "\n")
+    for kind, own in (("datasets", dataset), ("observation_sets", observation_set)):
+        shutil.copyfile(Path(config.output_root) / "data" / kind / own / "manifest.json", out / f"{kind}_manifest.json")
     snapshot.write_csv(observations.coverage(rows), out / "reports" / "coverage.csv", [*KEY, "symbol"])
     buckets = stats.bucket_returns(rows)
     snapshot.write_csv(buckets, out / "reports" / "bucket_returns.csv", [*KEY, "bucket"])
@@ -108,6 +119,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("command", choices=["run", "fixture", "ingest", "build-observations", "analyze", "backtest"])
     parser.add_argument("--config", required=True)
     parser.add_argument("--output-root")
+    parser.add_argument("--lexicon", nargs=2, metavar=("POSITIVE", "NEGATIVE"), help="word lists, one word a line")
+    parser.add_argument("--valence", help="tab-separated word, valence, ...")
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--dataset-id")
     parser.add_argument("--observation-set-id")
@@ -122,10 +135,17 @@ def main(argv: list[str] | None = None) -> None:
         return
     spark = SparkSession.builder.appName("tickloom").getOrCreate()
     run_id = args.run_id or config.run_id
+    lists = [text.read_words(spark, path, tone) for path, tone in zip(args.lexicon or [], (1, -1), strict=False)]
+    lists += [text.read_valence(spark, args.valence)] if args.valence else []
+    words = text.lexicon(*lists) if lists else None
+    if config.news_source != "fixture" and words is None and args.command in ("run", "ingest"):
+        parser.error("news that is not the fixture's needs --lexicon or --valence")
+    if args.command in ("build-observations", "analyze", "backtest") and not (args.dataset_id if args.command == "build-observations" else args.observation_set_id):
+        parser.error(f"{args.command} needs the identifier of what it reads")
     if args.command in ("run", "fixture"):
-        print(run_all(spark, config, run_id))
+        print(run_all(spark, config, run_id, words))
     elif args.command == "ingest":
-        print(ingest(spark, config)[0])
+        print(ingest(spark, config, words)[0])
     elif args.command == "build-observations":
         print(build(spark, config, args.dataset_id)[0])
     elif args.command == "analyze":

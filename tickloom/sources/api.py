@@ -119,7 +119,8 @@ class Client:
                 return pages
 
     def gdelt(self, search: str, start: str, end: str) -> list[str]:
-        query = {"query": search, "mode": "artlist", "format": "json", "maxrecords": str(GDELT_PAGE), "startdatetime": start, "enddatetime": end}
+        days = {"startdatetime": start.replace("-", "") + "000000", "enddatetime": end.replace("-", "") + "235959"}
+        query = {"query": search, "mode": "ArtList", "format": "json", "maxrecords": str(GDELT_PAGE)} | days
         return [self.get("gdelt", query)]
 
     def alpaca(self, symbols: list[str], minutes: int, start: str, end: str, key: str, secret: str) -> list[str]:
@@ -134,6 +135,10 @@ class Client:
                 return pages
 
 
+# Fixed value: what the macro news request asks for.
+GDELT_QUERY = '(stocks OR "federal reserve" OR inflation OR "interest rates") sourcelang:english'
+
+
 def land(folder: Path, name: str, pages: list[str]) -> None:
     folder.mkdir(parents=True, exist_ok=True)
     for i, body in enumerate(pages):
@@ -144,8 +149,11 @@ def raw_articles(spark: SparkSession, config: Config, client: Client, folder: Pa
     start, end = config.dataset_start, config.dataset_end
     for symbol in config.symbols:
         land(folder, f"massive_{symbol}", client.massive(symbol, start, end, credential("MASSIVE_API_KEY")))
-    land(folder, "gdelt_news", client.gdelt("economy", start, end))
-    return saved_files.massive_articles(spark, str(folder)).unionByName(saved_files.gdelt_articles(spark, str(folder)))
+    land(folder, "gdelt_news", client.gdelt(GDELT_QUERY, start, end))
+    rows = saved_files.massive_articles(spark, str(folder)).unionByName(saved_files.gdelt_articles(spark, str(folder)))
+    if rows.isEmpty():
+        raise ValueError("the vendors returned no articles")
+    return rows
 
 
 def price_bars(spark: SparkSession, config: Config, client: Client, folder: Path) -> DataFrame:

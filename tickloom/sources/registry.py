@@ -22,18 +22,22 @@ class PriceSource(Protocol):
 VENDORS = {"fixture": ["fixture"], "saved_files": ["massive", "gdelt", "alpaca"], "api": ["massive", "gdelt", "alpaca"]}
 
 
-def _client(config: Config) -> tuple[api.Client, Path]:
-    root = Path(config.output_root)
-    return api.Client(root / "cache"), root / "landed"
+def client(config: Config) -> api.Client:
+    """The client that the sources of a run share, so that pacing and log are the run's."""
+    return api.Client(Path(config.output_root) / "cache")
 
 
-def news_source(config: Config) -> NewsSource:
-    own = {"fixture": fixture.raw_articles, "saved_files": saved_files.raw_articles, "api": lambda s, c: api.raw_articles(s, c, *_client(c))}
+def _landed(config: Config) -> Path:
+    return Path(config.output_root) / "landed"
+
+
+def news_source(config: Config, shared: api.Client | None = None) -> NewsSource:
+    own = {"fixture": fixture.raw_articles, "saved_files": saved_files.raw_articles, "api": lambda s, c: api.raw_articles(s, c, shared or client(c), _landed(c))}
     return own[config.news_source]
 
 
-def price_source(config: Config) -> PriceSource:
-    own = {"fixture": fixture.price_bars, "saved_files": saved_files.price_bars, "api": lambda s, c: api.price_bars(s, c, *_client(c))}
+def price_source(config: Config, shared: api.Client | None = None) -> PriceSource:
+    own = {"fixture": fixture.price_bars, "saved_files": saved_files.price_bars, "api": lambda s, c: api.price_bars(s, c, shared or client(c), _landed(c))}
     return own[config.price_source]
 
 

@@ -23,8 +23,11 @@ def payloads(spark: SparkSession, folder: str, prefix: str, schema: T.StructType
 
 
 def _numbered(rows: DataFrame, start: int) -> DataFrame:
-    """An order over files and places that repeated reads agree on."""
-    return rows.withColumn("ordinal", F.xxhash64("_file", "_at").bitwiseAND((1 << 40) - 1) + F.lit(start << 41))
+    """Input order: sources, files by path, places in a file.  No two rows share a number."""
+    files = sorted(r["_file"] for r in rows.select("_file").distinct().collect())  # as many as the folder lists
+    ranks = rows.sparkSession.createDataFrame(list(enumerate(files)), "_rank long, _file string")
+    place = F.lit(start << 60) + F.shiftleft("_rank", 30) + F.col("_at")
+    return rows.join(ranks, "_file").withColumn("ordinal", place.cast("long")).drop("_rank")
 
 
 def massive_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +76,7 @@ def raw_articles(spark: SparkSession, config: Config) -> DataFrame:
 
 def price_bars(spark: SparkSession, config: Config) -> DataFrame:
     _exists(config.saved_files_dir)
-    rows = payloads(spark, config.saved_files_dir, "alpaca_bars", ALPACA_PAYLOAD).select(F.explode("bars").alias("symbol", "list"))
+    rows = payloads(spark, config.saved_files_dir, "alpaca_", ALPACA_PAYLOAD).select(F.explode("bars").alias("symbol", "list"))
     rows = rows.select("symbol", F.explode("list").alias("b"))
     start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp("b.t", F.lit("yyyy-MM-dd'T'HH:mm:ssX")).cast("timestamp_ntz"))
     rows = rows.withColumn("start_time", start).withColumn("end_time", F.col("start_time") + F.make_dt_interval(mins=F.lit(config.price_interval_minutes)))

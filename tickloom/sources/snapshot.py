@@ -64,16 +64,32 @@ def write_csv(df: DataFrame, path: Path, order: list[str]) -> None:
             out.writerow(["" if v is None else f"{v:.12g}" if isinstance(v, float) else v for v in row])
 
 
+#: Columns of the summary's table; those from trade_count on are the sentiment strategy's on held-out rows.
+SUMMARY = """news_window_minutes measurement_horizon_minutes source_set observation_count recommendation reason sentiment_net_return
+best_baseline_name best_baseline_net_return degenerate articles_per_signal source_set_coverage observed_top_minus_bottom shuffled_p95
+pearson_correlation trade_count net_return win_rate long_count long_net_return long_win_rate short_count short_net_return short_win_rate""".split()
+#: Run-wide figures and what they say.
+DATA_QUALITY = {
+    "quarantine_rate": "share of articles without a usable time or text",
+    "lexicon_hit_rate": "share of articles in which the scorer knew a word",
+    "vendor_agreement": "rank correlation of our scores with the vendor's; a benchmark, never traded on",
+    "degenerate_configurations": "configurations whose scores are too tied to trade; they take no trades",
+}
+
+
 def write_summary(path: Path, dataset: str, observation_set: str, analysis: list[dict], valid: bool) -> None:
-    """Markdown table of the configurations (one row each) with a stamp for invalid runs."""
-    columns = ["news_window_minutes", "measurement_horizon_minutes", "source_set", "observation_count", "observed_top_minus_bottom", "shuffled_p95",
-               "pearson_correlation", "sentiment_net_return", "best_baseline_name", "best_baseline_net_return", "recommendation", "reason"]
+    """Markdown: run-wide data quality, then a row for each configuration; invalid runs carry a stamp."""
+    columns = SUMMARY
     show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v).replace("|", "/")
     lines = ["# Run summary", "", f"Data set `{dataset}`, observation set `{observation_set}`.", ""]
     if not valid:
         lines += ["**This run is invalid: too few symbols have observations.**", ""]
-    lines += ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in analysis]
+    first = analysis[0] if analysis else {}
+    facts = {c: first.get(c, 0.0) for c in DATA_QUALITY} | {"degenerate_configurations": sum(bool(r["degenerate"]) for r in analysis)}
+    lines += [f"Configurations: {len(analysis)}, of which continue: {sum(r['recommendation'] == 'continue' for r in analysis)}.", "", "## Data quality", ""]
+    lines += ["| figure | value | meaning |", "|---|---|---|", *(f"| {c} | {show(facts[c])} | {why} |" for c, why in DATA_QUALITY.items())]
+    lines += ["", "## Configurations", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    lines += ["| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in analysis]
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(lines) + "\n")
 
