@@ -13,8 +13,9 @@ from its counts of counts).  The lowest order is interpolated with the uniform
 model.  Context totals and the lower order's probability meet in joins on
 context and suffix.
 
-*Scores.*  Documents fall into blocks of ``BLOCK_ROWS`` rows of a file.  A task
-sends the distinct grams of its part of a block, not one row a position; the
+*Scores.*  Documents fall into blocks of about ``BLOCK_ROWS`` rows (chunks of files,
+dealt by hash).  A task sends the distinct grams of its part of a block, not one
+row a position; most grams of a large block are the same ones again.  The
 grams of all blocks meet the counts in joins sharded by gram, order by order
 (an unseen gram takes the weight of its context times its suffix), and each
 block's log-probabilities come back as files in the shared folder.  A second
@@ -51,10 +52,10 @@ ORDER = 6
 QUANTILE = 0.995
 #: One of so many parts of the trusted documents is held out.
 FOLDS = 5
-#: Rows of a file whose grams are looked up together.
-BLOCK_ROWS = 1 << 15
+#: Rows whose grams are looked up together, and rows of a file that stay together.
+BLOCK_ROWS, CHUNK_ROWS = 1 << 20, 1 << 17
 #: Files of a block, by the low bits of a gram (a power of two).
-BLOCK_FILES = 8
+BLOCK_FILES = 64
 #: Bytes that a task turns into grams at once.
 PIECE = 2 << 20
 #: Languages whose thresholds may be broadcast.
@@ -210,47 +211,45 @@ def probabilities(wanted: DataFrame, model: dict, scratch: Scratch, order: int =
     return scratch.store(met.where("p is not null").unionByName(rest), "probabilities")
 
 
-def _places(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), *[F.col(f"`{c}`") for c in columns])
+def _places(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
+    """file, row, name (of the block) and columns of every row."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    name = F.pmod(F.xxhash64(file, F.floor(row / CHUNK_ROWS).cast("long")), F.lit(blocks)).cast("long")
+    return docs.select(file.alias("file"), row.alias("row"), name.alias("name"), *[F.col(f"`{c}`") for c in columns])
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
-    """(file, number of the block, first, end) of a batch's stretches."""
-    coded = batch.column(0).dictionary_encode()
-    code, block = coded.indices.to_numpy(), batch.column(1).to_numpy() // BLOCK_ROWS
-    cuts = np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1
-    bounds = [0, *cuts.tolist(), len(code)]
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        if low < high:
-            yield coded.dictionary[code[low]].as_py(), int(block[low]), low, high
+def _stretches(names: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(name, first, end) of the stretches of one name."""
+    cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(names)]
+    return ((int(names[low]), low, high) for low, high in zip(bounds[:-1], bounds[1:], strict=True) if low < high)
 
 
-def block_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """file, block, gram: what each block has to look up (a task's part of a block once)."""
+def block_grams(docs: DataFrame, blocks: int, order: int = ORDER) -> DataFrame:
+    """name, gram: what each block has to look up (a task's part of a block once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(key, counter):
+        def sent(name, counter):
             gram = counter.result()[0]
             for low in range(0, len(gram), 1 << 16):
                 own = gram[low : low + (1 << 16)]
-                columns = [pa.array([key[0]] * len(own)), pa.array(np.full(len(own), key[1])), pa.array(own)]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own)], names=["name", "gram"])
 
         at, counter = None, Counter()
         for batch in batches:
-            raws = _raw(batch.column(2))
-            for file, block, low, high in _blocks(batch):
-                if (file, block) != at or counter.size > 8 << 20:
-                    if at:
+            raws = _raw(batch.column(1))
+            for name, low, high in _stretches(batch.column(0).to_numpy()):
+                if name != at or counter.size > 8 << 20:
+                    if at is not None:
                         yield from sent(at, counter)
-                    at, counter = (file, block), Counter()
+                    at, counter = name, Counter()
                 for gram, _ in text_grams(raws[low:high], order):
                     counter.add(gram)
-        if at:
+        if at is not None:
             yield from sent(at, counter)
 
     prepare(docs.sparkSession)
-    return _places(docs, "text").mapInArrow(run, "file string, block long, gram long")
+    return _places(docs, blocks, "text").select("name", "text").mapInArrow(run, "name long, gram long")
 
 
 def write_blocks(rows: DataFrame, folder: str) -> None:
@@ -267,10 +266,7 @@ def write_blocks(rows: DataFrame, folder: str) -> None:
         for batch in batches:
             name, gram, p = (c.to_numpy() for c in batch.columns)
             part = gram & (BLOCK_FILES - 1)
-            cuts = np.flatnonzero((name[1:] != name[:-1]) | (part[1:] != part[:-1])) + 1
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(name)], strict=True):
-                if low == high:
-                    continue
+            for _, low, high in _stretches(name * BLOCK_FILES + part):
                 key = (int(name[low]), int(part[low]))
                 if key != at and held:
                     put(at, held)
@@ -301,13 +297,12 @@ def read_block(folder: str, name: int) -> tuple[np.ndarray, np.ndarray]:
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch, sides: str, order: int = ORDER) -> DataFrame:
     """``keep`` columns, n_bytes, log_likelihood and role (the side file's number, 0 without) of every row of ``docs`` (with file places)."""
-    wanted = block_grams(docs, order)
-    name = F.xxhash64("file", "block").alias("name")
-    named = scratch.store(wanted.select("file", "block", name, "gram").select("name", "gram").distinct(), "wanted")
+    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
+    named = scratch.store(block_grams(docs, blocks, order).distinct(), "wanted")
     p = probabilities(named.select("gram").distinct(), model, scratch, order)
     folder = scratch.folder("block-files")
     write_blocks(named.join(merge(p), "gram"), folder)
-    rows = _places(docs, *keep, "text").withColumn("name", F.xxhash64("file", F.floor(F.col("row") / BLOCK_ROWS).cast("long")))
+    rows = _places(docs, blocks, *keep, "text")
     kept = len(keep)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -315,22 +310,18 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch,
         at, known, logs = None, None, None
         roles = Sides(sides)
         for batch in batches:
-            raws = _raw(batch.column(kept + 2))
+            raws = _raw(batch.column(kept + 3))
             total = np.zeros(len(raws))
-            names = batch.column(kept + 3).to_numpy()
-            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)], strict=True):
-                if low == high:
-                    continue
-                if names[low] != at:
-                    at = names[low]
-                    known, logs = read_block(folder, int(at))
+            for name, low, high in _stretches(batch.column(2).to_numpy()):
+                if name != at:
+                    at = name
+                    known, logs = read_block(folder, name)
                 for gram, text in text_grams(raws[low:high], order):
                     total[low:high] += np.bincount(text, logs[np.searchsorted(known, gram)], high - low)
             _, role = roles.find(batch.column(0), batch.column(1).to_numpy())
             sizes = pa.array([len(r) for r in raws], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2 : kept + 2], sizes, pa.array(total), pa.array(role)], names=[*keep, "n_bytes", "log_likelihood", "role"]
+                [*batch.columns[3 : kept + 3], sizes, pa.array(total), pa.array(role)], names=[*keep, "n_bytes", "log_likelihood", "role"]
             )
 
     return scratch.store(rows.mapInArrow(run, f"{fields}, n_bytes long, log_likelihood double, role long"), "scored")
@@ -339,7 +330,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch,
 def trusted_places(docs: DataFrame, labels: DataFrame, folder: str) -> None:
     """Side files of trusted rows: 1 for training, 2 for what is held out."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
-    rows = _places(docs, "doc_id").withColumn("id", F.col("doc_id").cast("long")).where("id is not null")
+    rows = _places(docs, 1, "doc_id").withColumn("id", F.col("doc_id").cast("long")).where("id is not null")
     role = F.when(held_out("id"), 2).otherwise(1).cast("long").alias("value")
     write_sides(rows.join(merge(trusted), "id").select("file", "row", role), folder)
 
