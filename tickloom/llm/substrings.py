@@ -232,7 +232,7 @@ def by_document(rows: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a:b])) for x in (s, n)]
             yield pa.RecordBatch.from_arrays([pa.array(o[new[low:high]]), *lists], names=["ord", "s", "n"])
 
-    return rows.repartition(partitions(rows.sparkSession), "shard").mapInArrow(run, "ord long, s array<int>, n array<int>")
+    return rows.repartitionById(partitions(rows.sparkSession), "shard").mapInArrow(run, "ord long, s array<int>, n array<int>")
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def first_verdicts(rows: DataFrame) -> DataFrame:
-    shards = 4 * partitions(rows.sparkSession)
+    shards = partitions(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts():
@@ -286,11 +286,11 @@ def first_verdicts(rows: DataFrame) -> DataFrame:
             yield from send(parts, shards)
 
     sent = rows.select("ord", "text").mapInArrow(run, MIXED)
-    return store(sent.repartition(partitions(rows.sparkSession), "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
+    return store(sent.repartitionById(shards, "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
 
 
 def second_verdicts(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    shards = 4 * partitions(rows.sparkSession)
+    shards = partitions(rows.sparkSession)
     look = by_document(verdict.where("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def second_verdicts(rows: DataFrame, verdict: DataFrame) -> DataFrame:
             yield from send(parts, shards)
 
     sent = rows.select("ord", "text").join(look, "ord").mapInArrow(run, MIXED)
-    return store(sent.repartition(partitions(rows.sparkSession), "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
+    return store(sent.repartitionById(shards, "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
 
 
 def removed_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
