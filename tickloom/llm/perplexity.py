@@ -290,9 +290,33 @@ def read_block(folder: str, name: int) -> tuple[np.ndarray, np.ndarray]:
                 raw = f.read()
             grams_.append(np.frombuffer(raw[: len(raw) // 2], "<i8"))
             logs.append(np.frombuffer(raw[len(raw) // 2 :], "<f8"))
-    gram, log = np.concatenate(grams_), np.concatenate(logs)
-    order = np.argsort(gram, kind="stable")
-    return gram[order], log[order]
+    return np.concatenate(grams_), np.concatenate(logs)
+
+
+class Block:
+    """A block's grams in a hash table with linear probing: a look-up is about one access, not a search."""
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray):
+        self.shift = np.uint64(64 - max(1, (2 * len(gram)).bit_length()))
+        slot = self._slot(gram)
+        order = np.argsort(slot, kind="stable")
+        count = np.arange(len(gram))
+        slot = count + np.maximum.accumulate(slot[order] - count)  # each at its slot, or after the one before it
+        size = max(1 << (64 - int(self.shift)), int(slot[-1]) + 1 if len(slot) else 0)
+        self.keys, self.logs = np.full(size, -1, np.int64), np.zeros(size)
+        self.keys[slot], self.logs[slot] = gram[order], log[order]
+
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, gram: np.ndarray) -> np.ndarray:
+        """Log-probabilities of grams that the block holds."""
+        at = self._slot(gram)
+        rest = np.flatnonzero(self.keys[at] != gram)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[self.keys[at[rest]] != gram[rest]]
+        return self.logs[at]
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch, sides: str, order: int = ORDER) -> DataFrame:
@@ -307,7 +331,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch,
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, logs = None, None, None
+        at, known = None, None
         roles = Sides(sides)
         for batch in batches:
             raws = _raw(batch.column(kept + 3))
@@ -315,9 +339,9 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...], scratch: Scratch,
             for name, low, high in _stretches(batch.column(2).to_numpy()):
                 if name != at:
                     at = name
-                    known, logs = read_block(folder, name)
+                    known = Block(*read_block(folder, name))
                 for gram, text in text_grams(raws[low:high], order):
-                    total[low:high] += np.bincount(text, logs[np.searchsorted(known, gram)], high - low)
+                    total[low:high] += np.bincount(text, known.find(gram), high - low)
             _, role = roles.find(batch.column(0), batch.column(1).to_numpy())
             sizes = pa.array([len(r) for r in raws], pa.int64())
             yield pa.RecordBatch.from_arrays(
