@@ -57,7 +57,9 @@ BLOCK_ROWS, CHUNK_ROWS = 1 << 20, 1 << 17
 #: Files of a block, by the low bits of a gram (a power of two).
 BLOCK_FILES = 64
 #: Bytes that a task turns into grams at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
+#: Grams that a task holds before it sends them on, so that two tasks fit beside an executor's heap.
+HELD = 3 << 20
 #: Languages whose thresholds may be broadcast.
 SMALL = 10_000
 
@@ -125,6 +127,12 @@ class Counter:
         if self.size > 2 * self.merged + (1 << 20):
             self.result()
 
+    def full(self) -> bool:
+        """Whether there are many grams although equal ones are merged."""
+        if self.size > HELD:
+            self.result()
+        return self.size > HELD // 2
+
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > 1:
             gram, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -143,7 +151,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for gram, _ in text_grams(_raw(batch.column(0)), order):
                 counter.add(gram)
-            if counter.size > 8 << 20:  # what is distinct may be many
+            if counter.full():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in counter.result()], names=["gram", "c"])
                 counter = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in counter.result()], names=["gram", "c"])
@@ -239,7 +247,7 @@ def block_grams(docs: DataFrame, blocks: int, order: int = ORDER) -> DataFrame:
         for batch in batches:
             raws = _raw(batch.column(1))
             for name, low, high in _stretches(batch.column(0).to_numpy()):
-                if name != at or counter.size > 8 << 20:
+                if name != at or counter.full():
                     if at is not None:
                         yield from sent(at, counter)
                     at, counter = name, Counter()
