@@ -41,13 +41,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, prepare, store
+from .common import documents, light, partitions, prepare, store
 from .exact import located, plain
 
 #: Bytes of a repeated string and of a bucket's q-gram.
 LENGTH, Q = 100, 40
 #: Bytes that are hashed at once (longer texts in overlapping pieces).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Records that a task groups before it sends them on.
 FLUSH = 1 << 20
 
@@ -136,10 +136,13 @@ def pieces(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, b
         yield block
 
 
-def grouped(key, tag, o, s, n):
-    """Order by key, tag, ord and start; marks the first of each key and of each (key, tag)."""
-    order = np.lexsort((s, o, tag, key))
-    key, tag, o, s, n = key[order], tag[order], o[order], s[order], n[order]
+def grouped(columns: list[np.ndarray]):
+    """Order key, tag, ord, start and n (the list is emptied); marks the first of each key and of each (key, tag)."""
+    order = np.lexsort(columns[3::-1])
+    for i in range(5):
+        columns[i] = columns[i][order]
+    key, tag, o, s, n = columns
+    columns.clear()
     new_key = np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
     new_tag = new_key.copy()
@@ -175,8 +178,9 @@ def verdicts(o: np.ndarray, s: np.ndarray, n: np.ndarray, again: bool, shards: i
 
 def send(parts: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.RecordBatch]:
     """Group a task's records; give on local verdicts and one record for each key."""
-    key, tag, o, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, tag, o, s, n, new_key, new_tag, several = grouped(key, tag, o, s, n)
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    key, tag, o, s, n, new_key, new_tag, several = grouped(columns)
     for mask, again in ((~new_tag, False), (new_tag & several, True)):
         yield from _batches(([k, a, None, None, *blobs] for k, a, *blobs in verdicts(o[mask], s[mask], n[mask], again, shards)), MIXED)
     tag = np.where(several, _U(0), tag)  # tag 0: the key has several tags, nothing of this task is open
@@ -201,8 +205,9 @@ def receive(shards: int):
                 parts.append(tuple(np.frombuffer(x, t) for x, t in zip(row, types, strict=True)))
         if not parts:
             return
-        key, tag, o, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key, tag, o, s, n, _, new_tag, several = grouped(key, tag, o, s.astype(np.int64), n.astype(np.int64))
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        key, tag, o, s, n, _, new_tag, several = grouped(columns)
         open_ = tag != 0
         for mask, again in ((~new_tag & open_, False), (new_tag & several & open_, True)):
             yield from _batches(verdicts(o[mask], s[mask], n[mask], again, shards), VERDICT)
@@ -232,7 +237,7 @@ def by_document(rows: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a:b])) for x in (s, n)]
             yield pa.RecordBatch.from_arrays([pa.array(o[new[low:high]]), *lists], names=["ord", "s", "n"])
 
-    return rows.repartitionById(partitions(rows.sparkSession), "shard").mapInArrow(run, "ord long, s array<int>, n array<int>")
+    return rows.repartitionById(partitions(rows.sparkSession), "shard").mapInArrow(light(run), "ord long, s array<int>, n array<int>")
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -277,16 +282,16 @@ def first_verdicts(rows: DataFrame) -> DataFrame:
             anchor, context, at, n = runs(raw, ends, doc)
             own = doc[at] if len(at) else at
             ords, offsets = np.array([o for o, _, _ in block]), np.array([x for _, x, _ in block])
-            parts.append((anchor, context, ords[own], at - (ends - sizes)[own] + offsets[own], n))
+            parts.append((anchor, context, ords[own], (at - (ends - sizes)[own] + offsets[own]).astype("<u4"), n.astype("<u2")))
             size += len(anchor)
             if size >= FLUSH:
                 yield from send(parts, shards)
-                parts, size = [], 0
+                size = 0
         if parts:
             yield from send(parts, shards)
 
-    sent = rows.select("ord", "text").mapInArrow(run, MIXED)
-    return store(sent.repartitionById(shards, "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
+    sent = rows.select("ord", "text").mapInArrow(light(run), MIXED)
+    return store(sent.repartitionById(shards, "shard").mapInArrow(light(receive(shards)), VERDICT), "verdicts")
 
 
 def second_verdicts(rows: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -301,16 +306,16 @@ def second_verdicts(rows: DataFrame, verdict: DataFrame) -> DataFrame:
                 at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 b = buckets(prefix_hash(np.frombuffer(raw, np.uint8)))
                 key = _mix(_mix(b[at] * _GOLD + b[at + Q]) * _GOLD + b[at + LENGTH - Q])
-                parts.append((key, np.ones(len(at), _U), np.full(len(at), o), at, np.ones(len(at), np.int64)))
+                parts.append((key, np.ones(len(at), _U), np.full(len(at), o), at.astype("<u4"), np.ones(len(at), "<u2")))
                 size += len(at)
                 if size >= FLUSH:
                     yield from send(parts, shards)
-                    parts, size = [], 0
+                    size = 0
         if parts:
             yield from send(parts, shards)
 
-    sent = rows.select("ord", "text").join(look, "ord").mapInArrow(run, MIXED)
-    return store(sent.repartitionById(shards, "shard").mapInArrow(receive(shards), VERDICT), "verdicts")
+    sent = rows.select("ord", "text").join(look, "ord").mapInArrow(light(run), MIXED)
+    return store(sent.repartitionById(shards, "shard").mapInArrow(light(receive(shards)), VERDICT), "verdicts")
 
 
 def removed_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -348,7 +353,7 @@ def removed_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 
     joined = rows.select("ord", "text", F.struct(*[F.col(f"whole.`{c}`") for c in keep]).alias("kept")).join(gone, "ord", "left")
     joined = joined.select("text", "s", "n", "kept.*")
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, first array<int>, last array<int>, kept binary")
+    return joined.mapInArrow(light(run), f"{fields}, n_bytes long, first array<int>, last array<int>, kept binary")
 
 
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
