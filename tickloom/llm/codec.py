@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, prepare
+from .common import documents, light, prepare
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -36,7 +36,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
                 names=[*keep, "ids", "decoded"],
             )
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(light(run), f"{fields}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -61,7 +61,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        light(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -204,7 +204,7 @@ def write_sides(places: DataFrame, folder: str) -> None:
             n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    run_through(rows.mapInArrow(run, "n long"))
+    run_through(rows.mapInArrow(light(run), "n long"))
 
 
 def _stretches(files: pa.Array, chunks: np.ndarray) -> Iterator[tuple[tuple[str, int], int, int]]:
@@ -261,7 +261,7 @@ def at_places(docs: DataFrame, folder: str, value: str | None = None) -> DataFra
             out = pa.RecordBatch.from_arrays([batch.column(2), pa.array(own)], names=["whole", "value"])
             yield out.filter(pa.array(found if value else ~found))
 
-    kept = rows.mapInArrow(run, StructType([StructField("whole", rows.schema["whole"].dataType), StructField("value", LongType())]))
+    kept = rows.mapInArrow(light(run), StructType([StructField("whole", rows.schema["whole"].dataType), StructField("value", LongType())]))
     return kept.select("whole.*", *([F.col("value").alias(value)] if value else []))
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, store, table, without_places
+from .common import documents, light, prepare, store, table, without_places
 from .exact import located, plain
 
 #: Words of a segment.
@@ -103,7 +103,7 @@ def build_index(docs: DataFrame, name: str = "postings") -> DataFrame:
             yield segment(f"{part}-{n}", ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return store(rows.mapInArrow(run, INDEX), name)
+    return store(rows.mapInArrow(light(run), INDEX), name)
 
 
 class Segment:
@@ -197,7 +197,7 @@ def match_items(index: DataFrame, items: DataFrame, window: int = 10) -> DataFra
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield answer(Segment(*row), asked, whole)
 
-        return index.mapInArrow(run, MATCHES)
+        return index.mapInArrow(light(run), MATCHES)
 
     found = [search(b, i == 0) for i, b in enumerate(blocks(items))] or [search([], True)]
     return found[0] if len(found) == 1 else merge(found)
@@ -311,7 +311,7 @@ def match_near(index: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
                     columns = zip(*out, strict=True) if out else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in NEAR.split(", ")])
 
-        return index.mapInArrow(run, NEAR)
+        return index.mapInArrow(light(run), NEAR)
 
     rows = None
     for found in [search(b) for b in blocks(items)] or [search([])]:

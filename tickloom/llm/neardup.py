@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, at_places, documents, partitions, prepare, store, without_places, write_sides
+from .common import Scratch, at_places, documents, light, partitions, prepare, store, without_places, write_sides
 from .exact import located, plain
 
 #: Bands and coordinates of a band.
@@ -151,7 +151,7 @@ def sketched(docs: DataFrame, shingle: int, seed: int, scratch: Scratch) -> Data
             )
 
     schema = "locator struct<file: string, row: bigint>, doc_id long, n long, cid long, `check` long, bands array<long>"
-    return scratch.store(rows.mapInArrow(run, schema), "sketches")
+    return scratch.store(rows.mapInArrow(light(run), schema), "sketches")
 
 
 def classes_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -219,7 +219,7 @@ def star_links(pairs: DataFrame, texts: DataFrame, shingle: int, scratch: Scratc
                 good.append(near)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return scratch.store(rows.mapInArrow(run, "a long, b long"), "star-links")
+    return scratch.store(rows.mapInArrow(light(run), "a long, b long"), "star-links")
 
 
 def joining_links(texts: list[str], roots: list[int], blocks: list[int], shingle: int) -> list[tuple[int, int]]:
@@ -303,7 +303,7 @@ def group_links(groups: DataFrame, texts: DataFrame, shingle: int, scratch: Scra
         if held:
             yield answer(held)
 
-    return scratch.store(rows.mapInArrow(run, "a long, b long"), "group-links")
+    return scratch.store(rows.mapInArrow(light(run), "a long, b long"), "group-links")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, prepare, table
+from .common import documents, light, prepare, table
 
 #: Bounds of the labelled sample, in texts.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 4000, 6000
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             found = pa.array([m.score(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(light(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
