@@ -25,6 +25,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rows in an Arrow batch.  Texts may be long, so batches hold few rows.
 BATCH_ROWS = 256
+#: Bytes after which an Arrow batch ends although it has fewer rows.
+BATCH_BYTES = 8 << 20
 #: Public vocabulary file that the registered queries use.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,6 +36,7 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, and this package's code for the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

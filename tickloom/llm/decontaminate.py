@@ -55,6 +55,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_BYTES).split() if text else []
 
 
+class Numbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
 INDEX = "segment string, doc_ids binary, doc_nulls binary, starts binary, terms binary, offsets binary, positions binary"
 
 
@@ -62,21 +70,15 @@ def build_index(docs: DataFrame, name: str = "postings") -> DataFrame:
     """Segments of the index, stored in the shared folder."""
     prepare(docs.sparkSession)
 
-    def segment(name: str, ids: list[int | None], texts: list[list[bytes]]) -> pa.RecordBatch:
-        number: dict[bytes, int] = {}
-        flat: list[bytes] = []
+    def segment(name: str, ids: list[int | None], texts: list[np.ndarray], number: Numbers) -> pa.RecordBatch:
         starts = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            flat += t
-            starts[i + 1] = starts[i] + len(t) + 1  # one free position
-        position = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        for w in flat:
-            number.setdefault(w, len(number))
-        coded = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+        np.cumsum([len(t) + 1 for t in texts], out=starts[1:])  # one free position
+        coded = np.concatenate(texts)
+        position = np.arange(len(coded)) + np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         ordered = sorted(number)
         rank = np.empty(len(ordered), np.int32)
         rank[np.fromiter(map(number.__getitem__, ordered), np.int32, len(ordered))] = np.arange(len(ordered))
-        coded = rank[coded] if len(flat) else coded
+        coded = rank[coded]
         order = np.argsort(coded, kind="stable")
         offsets = np.concatenate([[0], np.cumsum(np.bincount(coded, minlength=len(ordered)))])
         columns = [
@@ -88,19 +90,20 @@ def build_index(docs: DataFrame, name: str = "postings") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []
+        number = Numbers()
         size, n, part = 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = words(text)
                 if size and size + len(own) > SEGMENT_WORDS:
-                    yield segment(f"{part}-{n}", ids, texts)
-                    ids, texts, size, n = [], [], 0, n + 1
+                    yield segment(f"{part}-{n}", ids, texts, number)
+                    ids, texts, number, size, n = [], [], Numbers(), 0, n + 1
                 ids.append(doc)
-                texts.append(own)
+                texts.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
                 size += len(own) + 1
         if ids:
-            yield segment(f"{part}-{n}", ids, texts)
+            yield segment(f"{part}-{n}", ids, texts, number)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return store(rows.mapInArrow(light(run), INDEX), name)
