@@ -13,8 +13,8 @@ Text is cut into *chunks* at single spaces that a non-space follows.  The
 pre-tokenizer's pattern always ends a pre-token before such a space (the space
 belongs to what follows), so chunks can be encoded apart and remembered.  A
 text with a chunk that is empty or begins with white space is cut by the
-pattern itself instead.  Words are remembered up to ``CACHE_ENTRIES``, so a
-worker's memory is bounded; the results do not depend on it.
+pattern itself instead.  A bounded number of words is remembered, so a worker's
+memory is bounded; the results do not depend on it.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ import ahocorasick
 import numpy as np
 import regex
 
-#: Remembered words (and token pairs) per Python worker.
+#: Remembered words per Python worker of an encoder that the library's model serves.
 CACHE_ENTRIES = 1_200_000
+#: Remembered words, and token pairs, where the vocabulary and its automaton are in memory too.
+CACHE_BACKTRACKING = 400_000
 #: After a word these always make one pre-token.
 MARKS = ".,;:!?*#%&$@()[]{}<>/=+-_|~^\""
 #: Longest word that is remembered, in characters.
@@ -112,7 +114,7 @@ class Vocabulary:
         """
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) >= CACHE_ENTRIES:
+            if len(self.compatible) >= CACHE_BACKTRACKING:
                 self.compatible.clear()
             known = self.compatible[left, right] = self._fits(left, right)
         return known
@@ -202,7 +204,7 @@ class _Words(dict):
                         return b"".join((self[a], piece(before[len(a) :]), piece(line), piece(b), piece(after[len(b) :])))
                 return self.encoder.pieces(" " + chunk)
         if len(chunk) <= CACHE_WORD:
-            if len(self) >= CACHE_ENTRIES // 2:
+            if len(self) >= self.encoder.entries // 2:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = ids
@@ -210,11 +212,11 @@ class _Words(dict):
 
 
 class Encoder:
-    """Whole texts to ids.  ``piece_ids`` encodes one pre-token."""
+    """Whole texts to ids.  ``piece_ids`` encodes one pre-token; ``entries`` words are remembered."""
 
-    def __init__(self, size: int, special: dict[str, int], piece_ids):
+    def __init__(self, size: int, special: dict[str, int], piece_ids, entries: int = CACHE_ENTRIES):
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.special, self.piece_ids = special, piece_ids
+        self.special, self.piece_ids, self.entries = special, piece_ids, entries
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.words, self.marks = _Words(self), {}
@@ -229,7 +231,7 @@ class Encoder:
         ids = self.marks.get(piece)
         if ids is None:
             ids = self.ids(piece)
-            if len(self.marks) >= CACHE_ENTRIES // 8:
+            if len(self.marks) >= self.entries // 8:
                 self.marks.clear()
             if len(piece) <= CACHE_WORD:
                 self.marks[piece] = ids
@@ -268,7 +270,7 @@ def vocabulary(path: str) -> Vocabulary:
 def backtracking_encoder(path: str) -> Encoder:
     """Encoder by compatible longest matches (one per worker and file)."""
     v = vocabulary(path)
-    return Encoder(len(v.pieces), v.special, lambda piece: v.encode_piece(piece.encode().decode("latin-1")))
+    return Encoder(len(v.pieces), v.special, lambda piece: v.encode_piece(piece.encode().decode("latin-1")), CACHE_BACKTRACKING)
 
 
 @lru_cache(maxsize=2)
