@@ -39,7 +39,7 @@ from .common import documents, light, prepare, store, table, without_places
 from .exact import located, plain
 
 #: Words of a segment.
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 18
 #: Query text that one pass over the index takes.
 BLOCK_BYTES = 16 << 20
 
