@@ -195,3 +195,19 @@ def test_gates_in_order(spark):
     rows = spark.createDataFrame([tuple({**GATES, **c}[n] for n in names) + (i,) for i, (c, _) in enumerate(cases)], [*names, "i"])
     found = [r["recommendation"] for r in verdict.decide(rows, Thresholds()).orderBy("i").collect()]
     assert found == [w for _, w in cases]
+
+
+def test_equal_scores_have_equal_means_in_every_order(spark):
+    scores = [0.1, 0.2, 0.3, 0.7, -0.6, 0.05]
+    fields = "symbol string, signal_time timestamp_ntz, article_id string, source string, source_kind string, scope string, sentiment_score double, sentiment_label string, available_at timestamp_ntz, published_at timestamp_ntz"
+    at, rows = t("2026-06-29 15:30"), []
+    for i in range(len(scores)):
+        rows += [(f"S{i}", at, f"a{i}{j}", "s", "finance", "macro_market", x, "neutral", at, at) for j, x in enumerate(scores[i:] + scores[:i])]
+    found = observations.window_features(spark.createDataFrame(rows, fields).coalesce(1), [60], ["finance_only"]).collect()
+    assert len(found) == len(scores) and {r["mean_sentiment"] for r in found} == {0.125}
+
+
+def test_equal_sums_of_valences_are_equal_scores(spark):
+    words = spark.createDataFrame([("a", None, 0.1), ("b", None, 0.8), ("c", None, 0.7)], "word string, tone int, valence double")
+    rows = spark.createDataFrame([(1, ["a"] * 8), (2, ["b"] + ["x"] * 7), (3, ["c", "a"] + ["x"] * 6)], "k int, tokens array<string>")
+    assert len({r["score"] for r in tx.score_tokens(rows, "k", words).collect()}) == 1

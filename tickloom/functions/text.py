@@ -47,19 +47,25 @@ def lexicon(*tables: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.max("tone").alias("tone"), F.max("valence").alias("valence"))
 
 
+def exact_sum(x: Column, digits: int = 17) -> Column:
+    """A grouped sum to so many decimals, the same in every order of the rows."""
+    return F.sum(x.cast(f"decimal(30,{digits})")).cast("double")
+
+
 def score_tokens(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
     """Per ``key``: n_tokens, tone, valence, score, hit; ``rows`` has ``key`` and ``tokens``.
 
-    Tokens are exploded, met with the lexicon in a join (Spark broadcasts it if
-    it is small) and summed up per key before the shuffle.
+    Tokens are exploded, met with the lexicon where they are (word lists are
+    short, so it is broadcast) and summed up per key before the shuffle.  Sums of
+    valences are decimal: they do not depend on the order of the words.
     """
     each = rows.select(key, "tokens", F.posexplode_outer("tokens").alias("at", "word"))
     each = each.withColumn("negated", F.coalesce(F.get("tokens", F.col("at") - 1).isin(NEGATORS), F.lit(False))).drop("tokens")
-    met = each.join(words, "word", "left")
+    met = each.join(F.broadcast(words), "word", "left")
     value = F.col("valence") * F.when(F.col("negated"), NEGATION).otherwise(1.0)
     sums = met.groupBy(key).agg(
         F.count("word").alias("n_tokens"), F.coalesce(F.sum("tone"), F.lit(0)).alias("_tone"),
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("_valence"),
+        F.coalesce(exact_sum(value, 15), F.lit(0.0)).alias("_valence"),
         F.coalesce(F.bool_or(F.col("tone").isNotNull() | F.col("valence").isNotNull()), F.lit(False)).alias("hit"),
     )
     return with_scores(sums)

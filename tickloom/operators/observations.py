@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import calendar as cal
+from ..functions import text as tx
 from ..functions.identity import iso, of_json
 
 # Source sets by kind, and the size of a tail event.
@@ -96,7 +97,11 @@ def news_matches(articles: DataFrame, signals: DataFrame, longest: int) -> DataF
 
 
 def window_features(matches: DataFrame, windows: list[int], source_sets: list[str]) -> DataFrame:
-    """Per signal, window and source set: counts, means, dispersion, extremes, ids."""
+    """Per signal, window and source set: counts, means, dispersion, extremes, ids.
+
+    Equal scores have equal means in every order of the rows: thresholds are
+    values of other rows, and a tie must not depend on how rows were added up.
+    """
     sets = F.array(*[F.struct(F.lit(s).alias("set"), F.lit(k).alias("kind")) for s, k in SOURCE_SETS if s in source_sets])
     spread = F.explode(F.array(*map(F.lit, windows))).alias("news_window_minutes")
     rows = matches.select("*", spread).where(F.col("available_at") > minutes_before(F.col("signal_time"), F.col("news_window_minutes")))
@@ -106,7 +111,7 @@ def window_features(matches: DataFrame, windows: list[int], source_sets: list[st
     rows = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("article_count"), is_scope("ticker_specific").alias("ticker_article_count"),
         is_scope("sector_theme").alias("sector_theme_article_count"), is_scope("macro_market").alias("macro_article_count"),
-        F.count_distinct("source").alias("source_count"), F.avg("sentiment_score").alias("mean_sentiment"),
+        F.count_distinct("source").alias("source_count"), (tx.exact_sum(F.col("sentiment_score")) / F.count("sentiment_score")).alias("mean_sentiment"),
         F.max_by("sentiment_score", F.struct(F.abs("sentiment_score"), "available_at", "article_id")).alias("extreme_sentiment"),
         F.count_if(F.col("sentiment_label") == "positive").alias("positive_article_count"),
         F.count_if(F.col("sentiment_label") == "negative").alias("negative_article_count"),
