@@ -211,3 +211,17 @@ def test_equal_sums_of_valences_are_equal_scores(spark):
     words = spark.createDataFrame([("a", None, 0.1), ("b", None, 0.8), ("c", None, 0.7)], "word string, tone int, valence double")
     rows = spark.createDataFrame([(1, ["a"] * 8), (2, ["b"] + ["x"] * 7), (3, ["c", "a"] + ["x"] * 6)], "k int, tokens array<string>")
     assert len({r["score"] for r in tx.score_tokens(rows, "k", words).collect()}) == 1
+
+
+def test_observations_join_the_news_once(spark):
+    articles, bars = spark.createDataFrame([], NORMALIZED_ARTICLES), bars_of(spark, "2026-06-29 13:30")
+    days = cal.trading_calendar(spark, "2026-06-29", "2026-07-20", CFG.holidays)
+    plan = observations.build_observations(CFG, "ds", articles, bars, days)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate explode(array_distinct(relevant_symbols") == 1
+
+
+def test_scores_come_from_raw_texts_as_from_gated_ones(spark):
+    rows = fixture.raw_articles(spark, CFG)
+    gated, days, words = normalize.gated(rows, CFG), cal.trading_calendar(spark, "2026-06-29", "2026-07-20", CFG.holidays), fixture.lexicon(spark)
+    own, other = (normalize.normalized(gated, CFG, days, words, x).orderBy("vendor_id").collect() for x in (None, rows))
+    assert own == other and len(own) == 5

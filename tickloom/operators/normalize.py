@@ -87,12 +87,17 @@ def set_aside(rows: DataFrame) -> DataFrame:
     return rows.where("reason is not null").withColumn("disposition", disposition()).select(*columns)
 
 
-def normalized(rows: DataFrame, config: Config, calendar: DataFrame, words: DataFrame) -> DataFrame:
-    """The normalized part of gated rows, with availability and sentiment."""
+def normalized(rows: DataFrame, config: Config, calendar: DataFrame, words: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The normalized part of gated rows, with availability and sentiment.
+
+    ``texts``: any rows that hold ordinal, title and summary of all of ``rows``
+    (the raw ones), so that the gates are not run a second time for the scores.
+    """
     rows = rows.where("reason is null").withColumn("scope", scope())
     rows = cal.next_session_time(rows, calendar, "published_at", "available_at", config.price_interval_minutes)
     # Copies of an article may share its id; the ordinal is each row's own key.
-    scores = tx.score_tokens(rows.select("ordinal", tx.tokens(tx.scored_text(F.col("title"), F.col("summary"))).alias("tokens")), "ordinal", words)
+    texts = rows if texts is None else texts
+    scores = tx.score_tokens(texts.select("ordinal", tx.tokens(tx.scored_text(F.col("title"), F.col("summary"))).alias("tokens")), "ordinal", words)
     rows = rows.join(scores.select("ordinal", F.col("score").alias("sentiment_score"), F.col("hit").alias("lexicon_hit")), "ordinal")
     return rows.select(
         "article_id", "vendor_id", "source", "source_kind", "published_at", "available_at", "title", "summary", "url", "tickers", "themes",

@@ -111,7 +111,7 @@ def window_features(matches: DataFrame, windows: list[int], source_sets: list[st
     rows = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("article_count"), is_scope("ticker_specific").alias("ticker_article_count"),
         is_scope("sector_theme").alias("sector_theme_article_count"), is_scope("macro_market").alias("macro_article_count"),
-        F.count_distinct("source").alias("source_count"), (tx.exact_sum(F.col("sentiment_score")) / F.count("sentiment_score")).alias("mean_sentiment"),
+        F.array_sort(F.collect_set("source")).alias("sources"), (tx.exact_sum(F.col("sentiment_score")) / F.count("sentiment_score")).alias("mean_sentiment"),
         F.max_by("sentiment_score", F.struct(F.abs("sentiment_score"), "available_at", "article_id")).alias("extreme_sentiment"),
         F.count_if(F.col("sentiment_label") == "positive").alias("positive_article_count"),
         F.count_if(F.col("sentiment_label") == "negative").alias("negative_article_count"),
@@ -120,6 +120,7 @@ def window_features(matches: DataFrame, windows: list[int], source_sets: list[st
     )
     away = F.aggregate("_items", F.lit(0.0), lambda s, x: s + F.abs(x["sentiment_score"] - F.col("mean_sentiment")))
     rows = rows.withColumn("sentiment_dispersion", away / F.col("article_count")).withColumn("article_ids", F.col("_items.article_id"))
+    rows = rows.withColumn("source_count", F.size("sources").cast("long"))
     return rows.withColumn("publisher_count", F.col("source_count")).withColumn("weighted_sentiment", F.col("mean_sentiment")).drop("_items")
 
 
@@ -136,8 +137,8 @@ def build_observations(config: Config, dataset_id: str, articles: DataFrame, bar
     future = forward_horizons(session, config.measurement_horizons_minutes)
     signals = session.select("symbol", F.col("start_time").alias("signal_time"))
     features = window_features(news_matches(articles, signals, max(config.news_windows_minutes)), config.news_windows_minutes, config.source_sets)
-    rows = features.join(future, ["symbol", "signal_time"])
-    rows = prior_bars(bars, rows)
+    # The bars before are looked up for session bars, not for features: these are built once.
+    rows = features.join(future, ["symbol", "signal_time"]).join(prior_bars(bars, signals.distinct()), ["symbol", "signal_time"])
     return rows.select(
         observation_id(dataset_id).alias("observation_id"), F.lit(dataset_id).alias("dataset_id"), "*", F.lit(config.price_interval_minutes).alias("price_interval_minutes"),
         F.lit("regular").alias("market_session"), F.col("signal_time").alias("entry_time"), F.lit(run_id or config.run_id).alias("created_by_run_id"),

@@ -31,21 +31,29 @@ def _num(c: str, digits: int = 7) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(x).alias(c)
 
 
+#: Columns of articles that queries read; texts are not among them.
+_NARROW = ["article_id", "vendor_id", "source", "source_kind", "published_at", "available_at", "scope", "relevant_symbols", "sentiment_score", "sentiment_label", "vendor_sentiment", "vendor_sentiment_available", "lexicon_hit"]
+
+
 class Relations:
-    """The engine's relations of one session and directory."""
+    """The engine's relations of one session and directory.
+
+    Bars, articles without their texts and observations are kept: many operators
+    read them, and each would scan events and score all texts again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.bars = dt.price_bars(spark, sf_dir)
+        self.bars = dt.price_bars(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
         self.raw = dt.raw_articles(spark, sf_dir)
         self.calendar = dt.calendar(spark)
         self.words = dt.lexicon(spark)
         self.gated = normalize.gated(self.raw, CFG)
-        self.articles = normalize.normalized(self.gated, CFG, self.calendar, self.words)
+        articles = normalize.normalized(self.gated, CFG, self.calendar, self.words, self.raw)
+        self.articles = articles.select(*_NARROW).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def observations(self) -> DataFrame:
-        """Observations are the engine's materialization point: many operators read them."""
         rows = observations.build_observations(CFG, dt.DATASET, self.articles, self.bars, self.calendar)
         return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
