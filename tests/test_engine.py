@@ -225,3 +225,13 @@ def test_scores_come_from_raw_texts_as_from_gated_ones(spark):
     gated, days, words = normalize.gated(rows, CFG), cal.trading_calendar(spark, "2026-06-29", "2026-07-20", CFG.holidays), fixture.lexicon(spark)
     own, other = (normalize.normalized(gated, CFG, days, words, x).orderBy("vendor_id").collect() for x in (None, rows))
     assert own == other and len(own) == 5
+
+
+def test_source_coverage_reads_the_sources_of_observations(spark):
+    articles = spark.createDataFrame([(f"a{i}", f"s{i % 3}") for i in range(4)], "article_id string, source string")
+    catalog = spark.createDataFrame([(f"s{i}", "finance") for i in range(4)], "source string, source_kind string")
+    rows = obs(spark, [0.0] * 4, [0.0] * 4)
+    kept = rows.withColumn("sources", F.transform("article_ids", lambda x: F.concat(F.lit("s"), (F.substring(x, 2, 1).cast("int") % 3).cast("string"))))
+    found = verdict.source_coverage(kept, articles, catalog)
+    assert found.collect() == verdict.source_coverage(rows, articles, catalog).collect() and found.first()["source_set_coverage"] == 0.75
+    assert "article_ids" not in found._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]

@@ -50,8 +50,12 @@ def expected_sources(catalog: DataFrame) -> DataFrame:
 
 def source_coverage(observations: DataFrame, articles: DataFrame, catalog: DataFrame) -> DataFrame:
     """Distinct contributing sources over expected ones, at most 1."""
-    used = observations.select(*KEY, F.explode("article_ids").alias("article_id")).distinct()
-    used = used.join(articles.select("article_id", "source").distinct(), "article_id").groupBy(*KEY).agg(F.count_distinct("source").alias("_n"))
+    if "sources" in observations.columns:
+        used = observations.select(*KEY, F.explode("sources").alias("source"))
+    else:  # observation sets that were stored without their sources
+        used = observations.select(*KEY, F.explode("article_ids").alias("article_id")).distinct()
+        used = used.join(articles.select("article_id", "source").distinct(), "article_id")
+    used = used.groupBy(*KEY).agg(F.count_distinct("source").alias("_n"))
     rows = observations.select(*KEY).distinct().join(used, KEY, "left").join(expected_sources(catalog), "source_set", "left")
     share = F.coalesce("_n", F.lit(0)) / F.greatest(F.coalesce("expected", F.lit(0)), F.lit(1))
     return rows.select(*KEY, F.least(share, F.lit(1.0)).alias("source_set_coverage"))
