@@ -227,6 +227,14 @@ def test_scores_come_from_raw_texts_as_from_gated_ones(spark):
     assert own == other and len(own) == 5
 
 
+def test_lookahead_is_found_for_each_early_use_and_joined_by_article(spark):
+    articles = spark.createDataFrame([(f"a{i}", f"v{i}", datetime(2026, 1, 1, i)) for i in range(3)], "article_id string, vendor_id string, available_at timestamp_ntz")
+    rows = obs(spark, [0.0] * 3, [0.0] * 3).withColumn("article_ids", F.array(F.lit("a0"), F.lit("a1"), F.lit("a2")))
+    found = audit.lookahead_violations(articles, rows)
+    assert sorted((r["observation_id"], r["vendor_id"], r["minutes_after_entry"]) for r in found.collect()) == [("o0000", "v1", 60), ("o0000", "v2", 120), ("o0001", "v2", 60)]
+    assert "min(entry_time" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_source_coverage_reads_the_sources_of_observations(spark):
     articles = spark.createDataFrame([(f"a{i}", f"s{i % 3}") for i in range(4)], "article_id string, source string")
     catalog = spark.createDataFrame([(f"s{i}", "finance") for i in range(4)], "source string, source_kind string")

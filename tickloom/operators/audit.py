@@ -25,8 +25,14 @@ def timestamp_audit(articles: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def lookahead_violations(articles: DataFrame, observations: DataFrame) -> DataFrame:
-    rows = uses(observations).join(articles.select("article_id", "vendor_id", "available_at"), "article_id")
-    rows = rows.where("available_at > entry_time")
+    """Uses before availability.
+
+    An article's earliest use tells whether it has any, so one row an article
+    meets the articles; all uses are read again for those that have.
+    """
+    first = uses(observations).groupBy("article_id").agg(F.min("entry_time").alias("_first"))
+    early = articles.select("article_id", "vendor_id", "available_at").join(first, "article_id").where("available_at > _first").drop("_first")
+    rows = uses(observations).join(early, "article_id").where("available_at > entry_time")
     return rows.withColumn("minutes_after_entry", F.timestamp_diff("MINUTE", F.col("entry_time"), F.col("available_at")))
 
 
