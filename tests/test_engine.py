@@ -243,3 +243,39 @@ def test_source_coverage_reads_the_sources_of_observations(spark):
     found = verdict.source_coverage(kept, articles, catalog)
     assert found.collect() == verdict.source_coverage(rows, articles, catalog).collect() and found.first()["source_set_coverage"] == 0.75
     assert "article_ids" not in found._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_scores_of_batches_are_those_of_joined_tokens(spark):
+    words = spark.createDataFrame([("good", 1, 2.1), ("bad", -1, -0.3), ("k", 1, 1e-15), ("i", None, 0.7), ("not", None, -0.4), ("b'c", -1, None)], "word string, tone int, valence double")
+    texts = [None, "", "Good, not good! NOT BAD", "bad", "not", "good", "\u212a \u0130good \u0130", "\u00e9bad\u00e9 b'c", "never" + " good" * 50 + " \u00df" * 9, "x " * 3000, "fails\nbad not i"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    old = tx.score_tokens(rows.select("k", tx.tokens(F.col("text")).alias("tokens")), "k", words)
+    new = tx.scored(rows, "text", words).select(old.columns)
+    assert sorted(new.collect()) == sorted(old.collect()) and new.count() == len(texts)
+
+
+def test_texts_beyond_a_slice_are_scored_each(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SLICE", 7)
+    words = spark.createDataFrame([("good", 1, 2.0)], "word string, tone int, valence double")
+    rows = spark.createDataFrame([(i, "good not " * (i % 3)) for i in range(20)], "k int, text string").coalesce(1)
+    found = tx.scored(rows, "text", words).collect()
+    assert [(r["k"], r["n_tokens"], r["hit"]) for r in found] == [(i, 2 * (i % 3), i % 3 > 0) for i in range(20)]
+
+
+def test_narrowed_rows_are_gated_and_scored_as_whole_ones(spark):
+    rows = fixture.raw_articles(spark, CFG).unionByName(raw(spark, {"ordinal": 90, "title": " ", "summary": ""}, {"ordinal": 91, "published_at": None, "published_at_raw": ""}))
+    days, words = cal.trading_calendar(spark, "2026-06-29", "2026-07-20", CFG.holidays), fixture.lexicon(spark)
+    whole, narrow = normalize.gated(rows, CFG), normalize.gated(normalize.narrowed(rows, words), CFG)
+    own = ["ordinal", "article_id", "reason", "relevant_symbols", "duplicate_of"]
+    assert narrow.select(own).orderBy("ordinal").collect() == whole.select(own).orderBy("ordinal").collect()
+    own = [c for c in NORMALIZED_ARTICLES.fieldNames() if c not in ("title", "summary", "dedupe_key")]
+    old, new = normalize.normalized(whole, CFG, days, words), normalize.normalized(narrow, CFG, days, words)
+    assert new.select(own).orderBy("vendor_id").collect() == old.select(own).orderBy("vendor_id").collect()
+
+
+def test_gates_and_scores_read_kept_rows_and_not_the_texts(spark):
+    from tickloom.plans import catalog
+
+    r = catalog.relations(spark, "/root/testdata/sf0.001")
+    for rows in (r.narrow, r.articles, verdict.quality(r.narrow, r.articles), normalize.source_catalog(r.narrow)):
+        assert not [f for f in rows.inputFiles() if "documents" in f]

@@ -53,12 +53,24 @@ def relevant_symbols(config: Config) -> Column:
     return F.when((F.size(named) == 0) & (F.size("tickers") == 0), F.array_sort(F.array_distinct(macro))).otherwise(named)
 
 
+def narrowed(raw: DataFrame, words: DataFrame) -> DataFrame:
+    """Raw rows without their texts, from one pass over these.
+
+    no_text, dedupe_key (a SHA-256 of it) and the scores take the place of
+    title and summary in ``gated`` and ``normalized``.
+    """
+    text = tx.scored_text(F.col("title"), F.col("summary"))
+    rows = raw.select("*", (blank("title") & blank("summary")).alias("no_text"), F.sha2(dedupe_key(), 256).alias("dedupe_key"), text.alias("_text"))
+    return tx.scored(rows.drop("title", "summary"), "_text", words)
+
+
 def gated(raw: DataFrame, config: Config) -> DataFrame:
-    """Raw rows with reason (null: normalized), dedupe_key, relevant_symbols, duplicate_of."""
+    """Raw rows (or narrowed ones) with reason (null: normalized), dedupe_key, relevant_symbols, duplicate_of."""
     empty = F.array().cast("array<string>")
     rows = raw.withColumn("tickers", F.coalesce("tickers", empty)).withColumn("themes", F.coalesce("themes", empty))
     time = F.when(F.col("published_at").isNull(), F.when(blank("published_at_raw"), "missing_published_at").otherwise("unparseable_published_at"))
-    reason = F.coalesce(time, F.when(blank("title") & blank("summary"), "missing_title_and_summary"))
+    narrow = "no_text" in raw.columns
+    reason = F.coalesce(time, F.when(F.col("no_text") if narrow else blank("title") & blank("summary"), "missing_title_and_summary"))
     day = F.to_date("published_at")
     outside = F.lit(False)
     if config.dataset_start:
@@ -66,7 +78,7 @@ def gated(raw: DataFrame, config: Config) -> DataFrame:
     if config.dataset_end:
         outside = outside | (day > F.lit(config.dataset_end).cast("date"))
     rows = rows.withColumn("reason", F.coalesce(reason, F.when(outside, "outside_dataset_window")))
-    rows = rows.withColumn("dedupe_key", dedupe_key()).withColumn("relevant_symbols", relevant_symbols(config)).withColumn("article_id", article_id())
+    rows = rows.withColumn("dedupe_key", F.col("dedupe_key") if narrow else dedupe_key()).withColumn("relevant_symbols", relevant_symbols(config)).withColumn("article_id", article_id())
     # The earliest of equal keys by aggregation and join: a key that very many
     # rows share is combined before the shuffle instead of sorted in one task.
     first = rows.where("reason is null").groupBy("dedupe_key").agg(F.min(F.struct("published_at", "ordinal", "article_id")).alias("first"))
@@ -92,18 +104,20 @@ def normalized(rows: DataFrame, config: Config, calendar: DataFrame, words: Data
 
     ``texts``: any rows that hold ordinal, title and summary of all of ``rows``
     (the raw ones), so that the gates are not run a second time for the scores.
+    Narrowed rows have their scores and no texts.
     """
     rows = rows.where("reason is null").withColumn("scope", scope())
     rows = cal.next_session_time(rows, calendar, "published_at", "available_at", config.price_interval_minutes)
-    # Copies of an article may share its id; the ordinal is each row's own key.
-    texts = rows if texts is None else texts
-    scores = tx.score_tokens(texts.select("ordinal", tx.tokens(tx.scored_text(F.col("title"), F.col("summary"))).alias("tokens")), "ordinal", words)
-    rows = rows.join(scores.select("ordinal", F.col("score").alias("sentiment_score"), F.col("hit").alias("lexicon_hit")), "ordinal")
+    if "score" not in rows.columns:
+        # Copies of an article may share its id; the ordinal is each row's own key.
+        texts = rows if texts is None else texts
+        scores = tx.score_tokens(texts.select("ordinal", tx.tokens(tx.scored_text(F.col("title"), F.col("summary"))).alias("tokens")), "ordinal", words)
+        rows = rows.join(scores.select("ordinal", "score", "hit"), "ordinal")
     return rows.select(
-        "article_id", "vendor_id", "source", "source_kind", "published_at", "available_at", "title", "summary", "url", "tickers", "themes",
-        "scope", "relevant_symbols", "sentiment_score", tx.label(F.col("sentiment_score")).alias("sentiment_label"),
+        "article_id", "vendor_id", "source", "source_kind", "published_at", "available_at", *[c for c in ("title", "summary") if c in rows.columns], "url", "tickers", "themes",
+        "scope", "relevant_symbols", F.col("score").alias("sentiment_score"), tx.label(F.col("score")).alias("sentiment_label"),
         F.coalesce("vendor_sentiment", F.lit(0.0)).alias("vendor_sentiment"), F.col("vendor_sentiment").isNotNull().alias("vendor_sentiment_available"),
-        "lexicon_hit", "dedupe_key",
+        F.col("hit").alias("lexicon_hit"), "dedupe_key",
     )
 
 

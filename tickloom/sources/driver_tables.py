@@ -53,26 +53,34 @@ def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(bar.alias("bar_id"), "symbol", "start_time", "end_time", "open", "high", "low", "close", "volume")
 
 
-def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw articles before their labels: a join on these need not carry texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    vendor = F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 1.0).otherwise(0.0)
-    known = labels.select("doc_id", vendor.alias("vendor_sentiment")).groupBy("doc_id").agg(F.min("vendor_sentiment").alias("vendor_sentiment"))
     n, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
     time = F.timestamp_add("MINUTE", (n * 26699 % 43200).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     missing, garbled, silent = n % 97 == 0, n % 89 == 0, n % 101 == 0
-    title = F.split_part(text, F.lit("\n"), F.lit(1))
-    rows = docs.join(known, "doc_id", "left")
+    title = F.substring_index(text, "\n", 1)
     none = F.array().cast("array<string>")
-    return rows.select(
+    return docs.select(
         n.alias("ordinal"), n.cast("string").alias("vendor_id"), "source", F.when(F.regexp_extract("source", "([0-9]+)", 1).cast("long") % 2 == 0, "finance").otherwise("broad").alias("source_kind"),
         F.when(~missing & ~garbled, time).alias("published_at"), F.when(missing, "").when(garbled, "some day").otherwise(iso(time)).alias("published_at_raw"),
         F.when(silent, "").otherwise(title).alias("title"), F.when(silent, " ").otherwise(F.substr(text, F.length(title) + 2)).alias("summary"),
         F.concat(F.lit("doc://"), F.md5(text.cast("binary"))).alias("url"), F.when(n % 5 == 0, none).when(n % 53 == 0, F.array(F.lit("ELSE"))).otherwise(F.array(F.concat(F.lit("S"), (n % 4).cast("string")))).alias("tickers"),
-        F.when(n % 10 == 0, F.array(F.lit("rates"))).otherwise(none).alias("themes"), "vendor_sentiment",
+        F.when(n % 10 == 0, F.array(F.lit("rates"))).otherwise(none).alias("themes"),
     )
 
 
+def with_labels(articles: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    vendor = F.when(F.col("toxic") == 1, -1.0).when(F.col("quality") == 1, 1.0).otherwise(0.0)
+    known = labels.select(F.col("doc_id").alias("ordinal"), vendor.alias("vendor_sentiment")).groupBy("ordinal").agg(F.min("vendor_sentiment").alias("vendor_sentiment"))
+    return articles.join(known, "ordinal", "left")
+
+
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_labels(articles_alone(spark, sf_dir), spark, sf_dir)
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     rows = [(w, 1, None) for w in GOOD] + [(w, -1, None) for w in BAD] + [(w, None, v) for w, v in VALENCE]
     return spark.createDataFrame(rows, "word string, tone int, valence double")
