@@ -279,3 +279,36 @@ def test_gates_and_scores_read_kept_rows_and_not_the_texts(spark):
     r = catalog.relations(spark, "/root/testdata/sf0.001")
     for rows in (r.narrow, r.articles, verdict.quality(r.narrow, r.articles), normalize.source_catalog(r.narrow)):
         assert not [f for f in rows.inputFiles() if "documents" in f]
+
+
+def test_bands_make_the_features_of_matched_articles(spark):
+    """Also over midnight, at both ends of a window and with more signals than articles."""
+    signals = [(s, t(f"2026-06-{d} {h}")) for s in ("SPY", "QQQ") for d, h in ((29, "23:30"), (30, "00:30"), (30, "01:00"), (30, "01:30"), (30, "15:00"))]
+    times = ["29 19:30", "29 19:31", "29 23:30", "29 23:59:59.999999", "30 00:00", "30 00:00:00.000001", "30 00:30", "30 00:31", "30 01:00", "30 01:30", "30 01:30", "30 14:30", "30 16:00", "28 12:00"]
+    rows = [
+        (f"a{i}", ["SPY", "QQQ", "SPY"][: 1 + i % 3], f"s{i % 4}", ("finance", "broad")[i % 2], ("ticker_specific", "macro_market")[i % 2], (i * 7 % 11 - 5) / 10, ("positive", "neutral", "negative")[i % 3], t(f"2026-06-{x}"), t("2026-06-29 19:30"))
+        for i, x in enumerate(times)
+    ]
+    rows.append(("late", ["SPY"], "s", "finance", "macro_market", 0.1, "positive", None, t("2026-06-29 19:30")))
+    news = spark.createDataFrame(rows, "article_id string, relevant_symbols array<string>, source string, source_kind string, scope string, sentiment_score double, sentiment_label string, available_at timestamp_ntz, published_at timestamp_ntz")
+    asked = spark.createDataFrame(signals, "symbol string, signal_time timestamp_ntz")
+    for windows, sets in (([60, 240], CFG.source_sets), ([1500], ["broad_news"])):
+        old = observations.window_features(observations.news_matches(news, asked, max(windows)), windows, sets)
+        new = observations.banded_features(news, asked, windows, sets).select(old.columns)
+        order = ["symbol", "signal_time", "news_window_minutes", "source_set"]
+        assert new.orderBy(*order).collect() == old.orderBy(*order).collect() and old.count() > 5
+
+
+def test_observations_do_not_hold_a_row_for_each_article_and_window(spark, monkeypatch):
+    articles, bars = spark.createDataFrame([], NORMALIZED_ARTICLES), bars_of(spark, "2026-06-29 13:30")
+    days = cal.trading_calendar(spark, "2026-06-29", "2026-07-20", CFG.holidays)
+    monkeypatch.setattr(observations, "news_matches", None)
+    assert observations.build_observations(CFG, "ds", articles, bars, days).count() == 0
+
+
+def test_statistics_read_few_partitions_without_lists(spark):
+    from tickloom.plans import catalog
+
+    r = catalog.relations(spark, "/root/testdata/sf0.001")
+    assert r.signals.rdd.getNumPartitions() <= catalog._FEW and not {"article_ids", "price_bar_ids"} & set(r.signals.columns)
+    assert r.signals.count() == r.observations.count()

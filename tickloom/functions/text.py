@@ -54,9 +54,10 @@ def lexicon(*tables: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.max("tone").alias("tone"), F.max("valence").alias("valence"))
 
 
-def exact_sum(x: Column, digits: int = 17) -> Column:
-    """A grouped sum to so many decimals, the same in every order of the rows."""
-    return F.sum(x.cast(f"decimal(30,{digits})")).cast("double")
+def exact_sum(x: Column, digits: int = 17, whole: bool = False) -> Column:
+    """A grouped sum to so many decimals, the same in every order of the rows; ``whole``: to be added up further."""
+    total = F.sum(x.cast(f"decimal(30,{digits})"))
+    return total if whole else total.cast("double")
 
 
 def score_tokens(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:

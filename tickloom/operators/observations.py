@@ -1,8 +1,8 @@
 """Bars and news to signal observations without look-ahead.
 
-The news join runs once over the longest window: articles are exploded to their
-symbols and met with session bars on symbol and day; shorter windows and source
-sets are filters on its rows.  Bars look backward (as-of) and forward (horizon)
+The news join runs once: articles are exploded to their symbols and meet, on
+symbol and day, the bands into which the ends of all windows cut the day; windows
+and source sets are made from bands.  Bars look backward (as-of) and forward (horizon)
 with windows over one symbol and day, so no pair of bars is enumerated.
 """
 
@@ -96,27 +96,36 @@ def news_matches(articles: DataFrame, signals: DataFrame, longest: int) -> DataF
     return rows.where((F.col("available_at") <= F.col("signal_time")) & (F.col("available_at") > minutes_before(F.col("signal_time"), F.lit(longest))))
 
 
-def window_features(matches: DataFrame, windows: list[int], source_sets: list[str]) -> DataFrame:
-    """Per signal, window and source set: counts, means, dispersion, extremes, ids.
+def _summed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Articles of a key in parts that ``_combined`` adds up; sums are decimal."""
+    is_scope = lambda s: F.count_if(F.col("scope") == s)
+    is_label = lambda s: F.count_if(F.col("sentiment_label") == s)
+    return rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("article_count"), is_scope("ticker_specific").alias("ticker_article_count"),
+        is_scope("sector_theme").alias("sector_theme_article_count"), is_scope("macro_market").alias("macro_article_count"),
+        F.collect_set("source").alias("sources"), tx.exact_sum(F.col("sentiment_score"), whole=True).alias("_sum"), F.count("sentiment_score").alias("_n"),
+        F.max(F.struct(F.abs("sentiment_score"), "available_at", "article_id", "sentiment_score")).alias("_extreme"),
+        is_label("positive").alias("positive_article_count"), is_label("negative").alias("negative_article_count"),
+        F.bool_or(F.col("available_at") != F.col("published_at")).alias("is_after_hours_signal"),
+        F.collect_list(F.struct("available_at", "article_id", "sentiment_score")).alias("_items"),
+    )
+
+
+def _combined(parts: DataFrame, source_sets: list[str]) -> DataFrame:
+    """Features per signal, window and source set from the parts of these (``_summed``).
 
     Equal scores have equal means in every order of the rows: thresholds are
     values of other rows, and a tie must not depend on how rows were added up.
     """
     sets = F.array(*[F.struct(F.lit(s).alias("set"), F.lit(k).alias("kind")) for s, k in SOURCE_SETS if s in source_sets])
-    spread = F.explode(F.array(*map(F.lit, windows))).alias("news_window_minutes")
-    rows = matches.select("*", spread).where(F.col("available_at") > minutes_before(F.col("signal_time"), F.col("news_window_minutes")))
-    rows = rows.withColumn("source_set", F.explode(F.transform(F.filter(sets, lambda x: x["kind"] == F.col("source_kind")), lambda x: x["set"])))
-    key = ["symbol", "signal_time", "news_window_minutes", "source_set"]
-    is_scope = lambda s: F.count_if(F.col("scope") == s)
-    rows = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("article_count"), is_scope("ticker_specific").alias("ticker_article_count"),
-        is_scope("sector_theme").alias("sector_theme_article_count"), is_scope("macro_market").alias("macro_article_count"),
-        F.array_sort(F.collect_set("source")).alias("sources"), (tx.exact_sum(F.col("sentiment_score")) / F.count("sentiment_score")).alias("mean_sentiment"),
-        F.max_by("sentiment_score", F.struct(F.abs("sentiment_score"), "available_at", "article_id")).alias("extreme_sentiment"),
-        F.count_if(F.col("sentiment_label") == "positive").alias("positive_article_count"),
-        F.count_if(F.col("sentiment_label") == "negative").alias("negative_article_count"),
-        F.bool_or(F.col("available_at") != F.col("published_at")).alias("is_after_hours_signal"),
-        F.array_sort(F.collect_list(F.struct("available_at", "article_id", "sentiment_score"))).alias("_items"),
+    rows = parts.withColumn("source_set", F.explode(F.transform(F.filter(sets, lambda x: x["kind"] == F.col("source_kind")), lambda x: x["set"])))
+    total = lambda c: F.sum(c).alias(c)
+    all_of = lambda c: F.flatten(F.collect_list(c))
+    rows = rows.groupBy("symbol", "signal_time", "news_window_minutes", "source_set").agg(
+        *map(total, ["article_count", "ticker_article_count", "sector_theme_article_count", "macro_article_count"]),
+        F.sort_array(F.array_distinct(all_of("sources"))).alias("sources"), (F.sum("_sum").cast("double") / F.sum("_n")).alias("mean_sentiment"),
+        F.max("_extreme").getField("sentiment_score").alias("extreme_sentiment"), total("positive_article_count"), total("negative_article_count"),
+        F.bool_or("is_after_hours_signal").alias("is_after_hours_signal"), F.sort_array(all_of("_items")).alias("_items"),
     )
     away = F.aggregate("_items", F.lit(0.0), lambda s, x: s + F.abs(x["sentiment_score"] - F.col("mean_sentiment")))
     rows = rows.withColumn("sentiment_dispersion", away / F.col("article_count")).withColumn("article_ids", F.col("_items.article_id"))
@@ -124,6 +133,40 @@ def window_features(matches: DataFrame, windows: list[int], source_sets: list[st
     return rows.withColumn("publisher_count", F.col("source_count")).withColumn("weighted_sentiment", F.col("mean_sentiment")).drop("_items")
 
 
+def window_features(matches: DataFrame, windows: list[int], source_sets: list[str]) -> DataFrame:
+    """Per signal, window and source set: counts, means, dispersion, extremes, ids."""
+    spread = F.explode(F.array(*map(F.lit, windows))).alias("news_window_minutes")
+    rows = matches.select("*", spread).where(F.col("available_at") > minutes_before(F.col("signal_time"), F.col("news_window_minutes")))
+    return _combined(_summed(rows, ["symbol", "signal_time", "news_window_minutes", "source_kind"]), source_sets)
+
+
+def news_spans(signals: DataFrame, windows: list[int]) -> DataFrame:
+    """(symbol, signal_time, news_window_minutes, day) with the part (lower, upper] of the window in that day."""
+    rows = signals.select("symbol", "signal_time").distinct().withColumn("news_window_minutes", F.explode(F.array(*map(F.lit, windows))))
+    begin = minutes_before(F.col("signal_time"), F.col("news_window_minutes"))
+    rows = rows.withColumn("day", F.explode(F.sequence(F.to_date(begin), F.to_date("signal_time"), F.expr("INTERVAL 1 DAY"))))
+    first = lambda day: day.cast("timestamp_ntz") - F.expr("INTERVAL 0.000001 SECOND")
+    return rows.withColumn("lower", F.greatest(begin, first(F.col("day")))).withColumn("upper", F.least("signal_time", first(F.date_add("day", 1))))
+
+
+def banded_features(articles: DataFrame, signals: DataFrame, windows: list[int], source_sets: list[str]) -> DataFrame:
+    """``window_features`` of ``news_matches``, without a row for each article and window.
+
+    The ends of all windows cut a symbol's day into bands, each wholly inside or
+    outside any window.  An article is added up once, in its band; windows are
+    made from bands, whose number depends on the signals and not on the articles.
+    """
+    fields = ["article_id", "source", "source_kind", "scope", "sentiment_score", "sentiment_label", "available_at", "published_at"]
+    spans = news_spans(signals, windows)
+    ends = spans.groupBy("symbol", "day").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array("lower", "upper"))))).alias("ends"))
+    news = articles.select(F.explode(F.array_distinct("relevant_symbols")).alias("symbol"), *fields).withColumn("day", F.to_date("available_at"))
+    news = news.join(ends, ["symbol", "day"]).withColumn("band", F.expr("get(filter(ends, e -> e >= available_at), 0)")).where("band is not null")
+    # Rows are dealt by band first: otherwise each task holds a part of nearly every band.
+    band = ["symbol", "day", "band", "source_kind"]
+    bands = _summed(news.repartition(*band), band)
+    return _combined(spans.join(bands, ["symbol", "day"]).where("band > lower and band <= upper"), source_sets)
+
+
 def observation_id(dataset_id: str) -> Column:
     text = F.concat(
         F.lit(f'["{dataset_id}","'), "symbol", F.lit('","'), iso(F.col("signal_time")), F.lit('",'), F.col("news_window_minutes").cast("string"),
@@ -136,7 +179,7 @@ def build_observations(config: Config, dataset_id: str, articles: DataFrame, bar
     session = cal.in_session(bars, calendar, "start_time").where(F.col("symbol").isin(config.symbols))
     future = forward_horizons(session, config.measurement_horizons_minutes)
     signals = session.select("symbol", F.col("start_time").alias("signal_time"))
-    features = window_features(news_matches(articles, signals, max(config.news_windows_minutes)), config.news_windows_minutes, config.source_sets)
+    features = banded_features(articles, signals, config.news_windows_minutes, config.source_sets)
     # The bars before are looked up for session bars, not for features: these are built once.
     rows = features.join(future, ["symbol", "signal_time"]).join(prior_bars(bars, signals.distinct()), ["symbol", "signal_time"])
     return rows.select(
